@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 
-# Code points matched by \s in ECMAScript.
-SPACE = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+# Code points matched by \s in ECMAScript; single Latin-1 characters stay a bit test in the JVM.
+SPACE = r"\t\n\x0B\f\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 LINE_END = r"\n\r\u2028\u2029"
-WORD = "A-Za-z0-9_"
-BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+# Unlike \b, \w is ASCII in every JVM.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # A boundary in front of something that can only start with a word character.
-WORD_START = rf"(?<![{WORD}])"
+WORD_START = r"(?<!\w)"
+# Ranges with an ASCII class of their own, which is one test instead of three.
+CLASSES = (("A-Za-z0-9_", r"\w"), ("A-Za-z0-9", r"\p{Alnum}"), ("0-9A-Za-z", r"\p{Alnum}"))
 STARTS_WITH_WORD = re.compile(r"\(*(?:\?:)?(?:[A-Za-z0-9_]|\\d|\[[A-Za-z0-9]+\])(?![?*{])")
 
 
@@ -42,6 +44,9 @@ def to_java(pattern: str, flags: str = "", trusted: bool = False) -> str:
             else:
                 out.append(two)
             i += 2
+        elif in_class and (short := next((s for s in CLASSES if pattern.startswith(s[0], i)), None)):
+            out.append(short[1])
+            i += len(short[0])
         elif in_class:
             in_class = c != "]"
             out.append(r"\[" if c == "[" else r"\&" if c == "&" else c)

@@ -70,9 +70,7 @@ def rule_hits(text: Column, rules: tuple[Rule, ...], look: Column) -> Column:
     """1-based positions of the rules with at least one match in the text."""
     def hit(position: int, rule: Rule) -> Column:
         found = F.rlike(text, F.lit(java_pattern(rule)))
-        # A case-sensitive catalogue pattern contains its own prefilter literals.
-        redundant = rule in BUILTIN and rule.implies and "i" not in rule.flags
-        if rule.prefilter and not redundant:
+        if rule.prefilter:
             found = contains_any(text, rule.prefilter) & found
         return F.when(found, F.lit(position))
 
