@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import attach, cut_lineage
+
 # The gates a run must pass.
 PRECISION_GATE, RECALL_GATE, LATENCY_GATE_MS = 0.98, 0.90, 50.0
 
@@ -48,20 +50,26 @@ def scores(counts: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
-    """Value at sorted position floor(n * q), exactly.
+    """Value at sorted position floor(n * q), exactly, also for one group too large for a task.
 
-    Equal values are counted first, so a group is ordered over its distinct values only.
+    Distinct values are counted, range-partitioned and ranked inside each partition; only the
+    totals per partition are put in sequence.
     """
     by = by or []
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = (counted.withColumn("_last", F.sum("_n").over(group.orderBy(value)))
-              .withColumn("_all", F.sum("_n").over(group)))
+    ranged = cut_lineage(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_part").orderBy(value)
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_t"))
+              .withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
+              .withColumn("_all", F.sum("_t").over(group)).drop("_t"))
+    ranked = attach(ranged.withColumn("_upto", F.sum("_n").over(inside)), totals, [*by, "_part"])
+    last = F.col("_before") + F.col("_upto")
     picks = []
     for q in quantiles:
         place = F.least(F.floor(F.col("_all") * q), F.col("_all") - 1)
-        holds = (F.col("_last") > place) & (F.col("_last") - F.col("_n") <= place)
-        picks.append(F.max(F.when(holds, F.col(value))).alias(f"p{round(q * 100)}"))
+        picks.append(F.max(F.when((last > place) & (last - F.col("_n") <= place), F.col(value))).alias(f"p{round(q * 100)}"))
     return ranked.groupBy(*by).agg(*picks)
 
 

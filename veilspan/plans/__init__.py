@@ -1,0 +1,5 @@
+"""Registered queries: name to (query, SQL twin or None)."""
+
+from . import detection
+
+REGISTRY = {**detection.QUERIES}
