@@ -1,5 +1,5 @@
 """Registered queries: name to (query, SQL twin or None)."""
 
-from . import detection
+from . import detection, masking
 
-REGISTRY = {**detection.QUERIES}
+REGISTRY = {**detection.QUERIES, **masking.QUERIES}

@@ -154,9 +154,10 @@ def sample_sql(key: str, dialect: str) -> dict[str, str]:
 def with_samples(df: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
     """Append a labelled sample to every text: adds ``expected_provider/rule/secret``."""
     sql = sample_sql(key_col, "spark")
-    return (df.withColumn("secret", F.expr(sql["secret"]))
-            .select(*[c for c in df.columns if c != text_col],
-                    F.concat(text_col, F.lit("\n"), F.expr(sql["sample"])).alias(text_col),
-                    F.expr(sql["provider"]).alias("expected_provider"),
-                    F.expr(sql["rule_id"]).alias("expected_rule"),
-                    F.col("secret").alias("expected_secret")))
+    # Generated columns are not merged into later expressions, so each sample is made once.
+    label = F.inline(F.array(F.struct(F.expr(sql["secret"]).alias("secret"), F.expr(sql["provider"]).alias("expected_provider"),
+                                      F.expr(sql["rule_id"]).alias("expected_rule"))))
+    sample = F.inline(F.array(F.struct(F.concat(text_col, F.lit("\n"), F.expr(sql["sample"])).alias("_text"))))
+    return (df.select("*", label).select("*", sample)
+            .select(*[c for c in df.columns if c != text_col], F.col("_text").alias(text_col),
+                    "expected_provider", "expected_rule", F.col("secret").alias("expected_secret")))
