@@ -83,11 +83,26 @@ def base64url_text(part: Column) -> Column:
     return let(F.substring(F.translate(part, "-_", "+/"), F.lit(1), usable), decode)
 
 
+def strict_json(text: Column) -> Column:
+    """Parsed value of a text that is one JSON value; NULL otherwise.
+
+    The parser stops after the first value, so the text is parsed inside an array and inside an
+    object: nothing but a single value is right in both.
+    """
+    def check(t: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        return let(listed, lambda a: F.when(
+            member.isNotNull() & F.try_variant_get(a, "$[1]", "variant").isNull(),
+            F.try_variant_get(a, "$[0]", "variant")))
+    return let(text, check)
+
+
 def is_real_jwt(token: Column) -> Column:
     """Header and payload decode to JSON objects and the header names a string ``alg``."""
     def check(parts: Column) -> Column:
-        header = F.try_parse_json(base64url_text(F.get(parts, F.lit(0))))
-        payload = F.try_parse_json(base64url_text(F.get(parts, F.lit(1))))
+        header = strict_json(base64url_text(F.get(parts, F.lit(0))))
+        payload = strict_json(base64url_text(F.get(parts, F.lit(1))))
         return let(header, lambda h: F.coalesce(
             (F.size(parts) == 3)
             & F.schema_of_variant(h).startswith("OBJECT")
@@ -99,7 +114,8 @@ def is_real_jwt(token: Column) -> Column:
 
 def human_age(at: Column, now: Column) -> Column:
     """"42s ago" and so on, each unit rounded half up from the one before."""
-    seconds = F.greatest(F.lit(0), F.floor((F.unix_millis(now) - F.unix_millis(at)) / 1000 + 0.5))
+    elapsed = F.unix_millis(now.cast("timestamp")) - F.unix_millis(at.cast("timestamp"))
+    seconds = F.greatest(F.lit(0), F.floor(elapsed / 1000 + 0.5))
     minutes = F.floor(seconds / 60 + 0.5)
     hours = F.floor(minutes / 60 + 0.5)
     days = F.floor(hours / 24 + 0.5)

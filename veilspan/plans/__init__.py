@@ -1,5 +1,5 @@
 """Registered queries: name to (query, SQL twin or None)."""
 
-from . import detection, masking
+from . import detection, events, masking
 
-REGISTRY = {**detection.QUERIES, **masking.QUERIES}
+REGISTRY = {**detection.QUERIES, **masking.QUERIES, **events.QUERIES}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import strict_json
 from ..operators.nested import redact_json
 from ..options import ScanOptions
 
@@ -18,12 +19,12 @@ def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
 
     A request carries ``params`` and a response ``result``; a line that does not parse passes on.
     """
-    parsed = F.try_parse_json(value)
+    parsed = strict_json(F.col(value))
     return (lines.filter(F.trim(F.col(value)) != "")
             .withColumn("parsed", parsed.isNotNull())
             .withColumn("method", F.try_variant_get(parsed, "$.method", "string"))
-            .withColumn("params", F.get_json_object(value, "$.params"))
-            .withColumn("result", F.get_json_object(value, "$.result")))
+            .withColumn("params", F.when(parsed.isNotNull(), F.get_json_object(value, "$.params")))
+            .withColumn("result", F.when(parsed.isNotNull(), F.get_json_object(value, "$.result"))))
 
 
 def _rewrapped(value: Column, part: str, inner: Column) -> Column:
@@ -55,15 +56,17 @@ def guard_messages(lines: DataFrame, keys: list[str], direction: str, vault: Dat
 
 def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Tool events with their snake, camel and host-specific field names; malformed ones are kept."""
-    v = F.try_parse_json(value)
+    # One generated column, so that each line is parsed once.
+    lines = lines.select("*", F.inline(F.array(F.struct(strict_json(F.col(value)).alias("_json")))))
+    v = F.col("_json")
 
     def text(*names: str) -> Column:
         return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
 
     def raw(*names: str) -> Column:
-        return F.coalesce(*[F.get_json_object(value, f"$.{n}") for n in names])
+        return F.when(v.isNotNull(), F.coalesce(*[F.get_json_object(value, f"$.{n}") for n in names]))
     return lines.select(
-        "*", v.isNotNull().alias("parsed"), F.coalesce(text(*EVENT_NAMES), F.lit("")).alias("event"),
+        *[c for c in lines.columns if c != "_json"], v.isNotNull().alias("parsed"), F.coalesce(text(*EVENT_NAMES), F.lit("")).alias("event"),
         text("prompt").alias("prompt"), F.coalesce(text(*TOOL_NAMES), F.lit("")).alias("tool_name"),
         F.from_json(raw(*INPUT_NAMES), "map<string,string>").alias("tool_input"),
         raw(*RESPONSE_NAMES).alias("tool_response"), text("cwd").alias("cwd"))
