@@ -7,16 +7,19 @@ from pyspark.sql import Column, functions as F
 from .columns import let
 
 
+def entropy_of(v: Column) -> Column:
+    """Entropy of a value that costs nothing to refer to, such as a lambda variable."""
+    n = F.length(v)
+
+    def add(acc: Column, ch: Column) -> Column:
+        p = (n - F.length(F.replace(v, ch, F.lit("")))) / n
+        return acc - p * F.log2(p)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), add))
+
+
 def shannon_entropy(s: Column) -> Column:
     """Bits per character, 0 for the empty string; characters are summed in order of appearance."""
-    def bits(v: Column) -> Column:
-        n = F.length(v)
-
-        def add(acc: Column, ch: Column) -> Column:
-            return let((n - F.length(F.replace(v, ch, F.lit("")))) / n, lambda p: acc - p * F.log2(p))
-        return F.when(n == 0, F.lit(0.0)).otherwise(
-            F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), add))
-    return let(s, bits)
+    return let(s, entropy_of)
 
 
 def is_hex(s: Column) -> Column:
@@ -76,11 +79,10 @@ def key_pads(key: bytes) -> tuple[bytes, bytes]:
 
 def base64url_text(part: Column) -> Column:
     """Decoded text of a base64url part; NULL when it does not decode."""
-    def decode(s: Column) -> Column:
-        padded = F.concat(s, F.repeat(F.lit("="), F.pmod(-F.length(s), F.lit(4)).cast("int")))
-        return F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
     usable = F.length(part) - F.when(F.length(part) % 4 == 1, 1).otherwise(0)
-    return let(F.substring(F.translate(part, "-_", "+/"), F.lit(1), usable), decode)
+    standard = F.substring(F.translate(part, "-_", "+/"), F.lit(1), usable)
+    padding = F.repeat(F.lit("="), F.pmod(-usable, F.lit(4)).cast("int"))
+    return F.make_valid_utf8(F.try_to_binary(F.concat(standard, padding), F.lit("base64")).cast("string"))
 
 
 def strict_json(text: Column) -> Column:
@@ -89,27 +91,21 @@ def strict_json(text: Column) -> Column:
     The parser stops after the first value, so the text is parsed inside an array and inside an
     object: nothing but a single value is right in both.
     """
-    def check(t: Column) -> Column:
-        listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-        member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
-        return let(listed, lambda a: F.when(
-            member.isNotNull() & F.try_variant_get(a, "$[1]", "variant").isNull(),
-            F.try_variant_get(a, "$[0]", "variant")))
-    return let(text, check)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(member.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(),
+                  F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def is_real_jwt(token: Column) -> Column:
     """Header and payload decode to JSON objects and the header names a string ``alg``."""
-    def check(parts: Column) -> Column:
-        header = strict_json(base64url_text(F.get(parts, F.lit(0))))
-        payload = strict_json(base64url_text(F.get(parts, F.lit(1))))
-        return let(header, lambda h: F.coalesce(
-            (F.size(parts) == 3)
-            & F.schema_of_variant(h).startswith("OBJECT")
-            & F.schema_of_variant(payload).startswith("OBJECT")
-            & (F.schema_of_variant(F.try_variant_get(h, "$.alg", "variant")) == "STRING"),
-            F.lit(False)))
-    return let(F.split(token, r"\."), check)
+    header = strict_json(base64url_text(F.split_part(token, F.lit("."), F.lit(1))))
+    payload = strict_json(base64url_text(F.split_part(token, F.lit("."), F.lit(2))))
+    return F.coalesce(
+        F.rlike(token, F.lit(r"\A[^.]+\.[^.]+\.[^.]*\z"))
+        & F.schema_of_variant(header).startswith("OBJECT")
+        & F.schema_of_variant(payload).startswith("OBJECT")
+        & (F.schema_of_variant(F.try_variant_get(header, "$.alg", "variant")) == "STRING"), F.lit(False))
 
 
 def human_age(at: Column, now: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F
 from ..functions.columns import any_of, contains_any, empty, let, running
 from ..functions.predicates import is_placeholder_value, mixes_classes, not_shell_variable, not_variable
 from ..functions.regex import to_java
-from ..functions.text import entropy_threshold, is_real_jwt, shannon_entropy
+from ..functions.text import entropy_of, entropy_threshold, is_real_jwt
 from ..options import ScanOptions
 from ..rules.catalogue import (BUILTIN, CONFIDENCE_RANK, ENTROPY_CANDIDATE, ENTROPY_PROVIDER, ENTROPY_RULE_ID,
                                IMPLIED_NAMES, IMPLIED_SHAPES, NAME_AHEAD, NAME_WORDS, SECRET_NAME, Rule)
@@ -123,8 +123,8 @@ def _validated(secret: Column, validator: Column, rules: tuple[Rule, ...]) -> Co
     return verdict
 
 
-def rule_spans(text: Column, options: ScanOptions, look: Column | None = None) -> Column:
-    """Every match of every rule that passes its validator and entropy floor, unresolved."""
+def spans_of_hits(text: Column, hits: Column, options: ScanOptions) -> Column:
+    """Every match of the rules that hit, if it passes its validator and entropy floor."""
     rules = options.rules
 
     def spans_of(rule: Column, position: Column) -> Column:
@@ -134,16 +134,19 @@ def rule_spans(text: Column, options: ScanOptions, look: Column | None = None) -
         spans = F.transform(found, lambda m, i: _span(
             # The secret sits at its first occurrence inside the match.
             m["at"] + F.position(m["secret"], m["whole"]) - 1, m["secret"], rule["rank"], position, i,
-            rule["id"], rule["provider"], rule["confidence"], shannon_entropy(m["secret"])))
+            rule["id"], rule["provider"], rule["confidence"], entropy_of(m["secret"])))
         return F.filter(spans, lambda s: (F.length(s["match"]) > 0)
                         & _validated(s["match"], rule["validator"], rules)
                         & (s["entropy"] >= F.coalesce(rule["entropy_min"], F.lit(0.0))))
 
-    def expand(hits: Column) -> Column:
-        table = _rule_table(rules)
-        return F.when(F.size(hits) == 0, empty(SPAN)).otherwise(F.flatten(F.transform(
-            hits, lambda p: let(F.get(table, p - 1), lambda rule: spans_of(rule, p)))))
-    return let(rule_hits(text, rules, worth_a_look(text) if look is None else look), expand)
+    table = _rule_table(rules)
+    return F.when(F.size(hits) == 0, empty(SPAN)).otherwise(F.flatten(F.transform(
+        hits, lambda p: let(F.get(table, p - 1), lambda rule: spans_of(rule, p)))))
+
+
+def rule_spans(text: Column, options: ScanOptions) -> Column:
+    """Matches of all rules over a text, overlaps included."""
+    return let(rule_hits(text, options.rules, worth_a_look(text)), lambda hits: spans_of_hits(text, hits, options))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -195,26 +198,27 @@ def entropy_spans(text: Column, covered: Column, options: ScanOptions) -> Column
         spans = F.transform(located(text, pattern, values), lambda m, i: _span(
             m["at"] + F.position(m["secret"], m["whole"]) - 1, m["secret"], F.lit(CONFIDENCE_RANK["low"]),
             F.lit(len(options.rules) + 1), i, F.lit(ENTROPY_RULE_ID), F.lit(ENTROPY_PROVIDER), F.lit("low"),
-            shannon_entropy(m["secret"])))
+            entropy_of(m["secret"])))
         return F.filter(spans, lambda s: (s["entropy"] >= entropy_threshold(s["match"], options.entropy_threshold))
                         & ~F.exists(taken, lambda k: _overlaps(s, k))
                         & ~is_placeholder_value(s["match"], options.prefix))
 
     found = F.rlike(text, F.lit(_shape("entropy"))) & F.rlike(text, pattern)
-    return F.when(found, let(covered, to_spans)).otherwise(empty(SPAN))
+    return F.when(found, to_spans(covered)).otherwise(empty(SPAN))
 
 
-def detected_spans(text: Column, options: ScanOptions) -> Column:
-    """Resolved rule spans plus the entropy layer, in text order."""
-    def layers(look: Column) -> Column:
-        return let(rule_spans(text, options, look), lambda raw: let(
-            F.when(F.size(raw) <= 1, raw).otherwise(resolve_overlaps(raw)),
-            lambda structured: let(
-                F.when(look, entropy_spans(text, structured, options)).otherwise(empty(SPAN)),
-                lambda extra: F.when(F.size(extra) == 0, structured).otherwise(
-                    F.array_sort(F.concat(structured, extra))))))
-    return let(worth_a_look(text), layers)
+def detection_stages(text: Column, options: ScanOptions) -> list[tuple[str, Column]]:
+    """Named steps from text to spans; each refers to the columns of the steps before it."""
+    look, hits, raw, kept, extra = (F.col(c) for c in ("_veil_look", "_veil_hits", "_veil_raw", "_veil_kept", "_veil_extra"))
+    return [
+        ("_veil_look", worth_a_look(text)),
+        ("_veil_hits", rule_hits(text, options.rules, look)),
+        ("_veil_raw", spans_of_hits(text, hits, options)),
+        ("_veil_kept", F.when(F.size(raw) <= 1, raw).otherwise(resolve_overlaps(raw))),
+        ("_veil_extra", F.when(look, entropy_spans(text, kept, options)).otherwise(empty(SPAN))),
+        ("_veil_spans", F.when(F.size(extra) == 0, kept).otherwise(F.array_sort(F.concat(kept, extra)))),
+    ]
 
 
-__all__ = ["SPAN", "any_of", "detected_spans", "entropy_spans", "java_pattern", "located",
+__all__ = ["SPAN", "any_of", "detection_stages", "entropy_spans", "java_pattern", "located",
            "resolve_overlaps", "rule_hits", "rule_spans"]

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import empty, let
+from ..functions.columns import empty
 from ..functions.predicates import has_pragma, is_placeholder_value, is_test_path, matches_glob
 from ..functions.regex import to_java
 from ..functions.text import line_number, line_of
 from ..options import ScanOptions
 from ..rules.catalogue import ENTROPY_RULE_ID
-from .detect import detected_spans
+from .detect import detection_stages
 
 FINDING = ("struct<rule_id:string,provider:string,match:string,start:int,end:int,"
            "confidence:string,entropy:double,note:string>")
@@ -62,35 +62,40 @@ def _finding(span: Column, confidence: Column, note: Column) -> Column:
                     confidence.alias("confidence"), span["entropy"].alias("entropy"), note.alias("note"))
 
 
-def scan_column(text: Column, options: ScanOptions, path: Column | None = None) -> Column:
-    """Struct of ``findings`` and ``suppressed`` for one text."""
+def _judged(spans: Column, text: Column, options: ScanOptions, path: Column | None) -> Column:
+    return F.transform(spans, lambda s: F.struct(
+        s.alias("span"), suppression_note(s["match"], s["start"], text, path, options).alias("note")))
+
+
+def _verdicts(judged: Column, path: Column | None) -> Column:
+    """Struct of ``findings`` and ``suppressed`` from the judged spans."""
     in_test = F.lit(False) if path is None else is_test_path(path)
+    active = F.transform(F.filter(judged, lambda j: j["note"].isNull()), lambda j: _finding(
+        j["span"], F.when(in_test, F.lit("low")).otherwise(j["span"]["confidence"]), F.when(in_test, F.lit(TEST_PATH_NOTE))))
+    stopped = F.transform(F.filter(judged, lambda j: j["note"].isNotNull()), lambda j: _finding(
+        j["span"], j["span"]["confidence"], j["note"]))
+    nothing = empty(FINDING)
+    return F.struct(
+        F.when(F.size(judged) == 0, nothing).otherwise(active.cast(FINDINGS)).alias("findings"),
+        F.when(F.size(judged) == 0, nothing).otherwise(stopped.cast(FINDINGS)).alias("suppressed"))
 
-    def split(spans: Column) -> Column:
-        judged = F.transform(spans, lambda s: F.struct(
-            s.alias("span"), suppression_note(s["match"], s["start"], text, path, options).alias("note")))
-        return let(judged, lambda js: F.struct(
-            F.transform(F.filter(js, lambda j: j["note"].isNull()), lambda j: _finding(
-                j["span"], F.when(in_test, F.lit("low")).otherwise(j["span"]["confidence"]),
-                F.when(in_test, F.lit(TEST_PATH_NOTE)))).cast(FINDINGS).alias("findings"),
-            F.transform(F.filter(js, lambda j: j["note"].isNotNull()), lambda j: _finding(
-                j["span"], j["span"]["confidence"], j["note"])).cast(FINDINGS).alias("suppressed")))
 
-    nothing = F.struct(empty(FINDING).alias("findings"), empty(FINDING).alias("suppressed"))
-    return let(F.coalesce(text, F.lit("")), lambda t: let(
-        detected_spans(t, options),
-        lambda spans: F.when(F.size(spans) == 0, nothing).otherwise(split(spans))))
+def _generated(*columns: Column) -> Column:
+    """One generated row of columns: computed once, and never merged into what follows."""
+    return F.inline(F.array(F.struct(*columns)))
 
 
-_BUILT: dict[tuple, Column] = {}
+_BUILT: dict[tuple, list[Column]] = {}
 
 
-def _scan_generator(text_col: str, options: ScanOptions, path_col: str | None) -> Column:
-    """The scan expression, built once per session: it has thousands of nodes."""
+def _scan_stages(text_col: str, options: ScanOptions, path_col: str | None) -> list[Column]:
+    """The generators of a scan, built once per session: together they have thousands of nodes."""
     key = (id(SparkSession.active().sparkContext), text_col, options, path_col)
     if key not in _BUILT:
-        path = None if path_col is None else F.col(path_col)
-        _BUILT[key] = F.inline(F.array(scan_column(F.col(text_col), options, path)))
+        text, path = F.col(text_col), None if path_col is None else F.col(path_col)
+        stages = [*detection_stages(text, options), ("_veil_judged", _judged(F.col("_veil_spans"), text, options, path))]
+        _BUILT[key] = [_generated(column.alias(name)) for name, column in stages]
+        _BUILT[key].append(F.inline(F.array(_verdicts(F.col("_veil_judged"), path))))
     return _BUILT[key]
 
 
@@ -98,10 +103,14 @@ def scan_df(df: DataFrame, text_col: str, options: ScanOptions = ScanOptions(),
             path_col: str | None = None) -> DataFrame:
     """Add the array columns ``findings`` and ``suppressed``.
 
-    ``inline`` emits one row per text and keeps the optimizer from merging the scan into later
-    filters and projections, where it would run once per reference.
+    A chain of one-row generators: narrow, pipelined in one stage, no shuffle.  A generator also
+    keeps the optimizer from merging the scan into later filters and projections, where it
+    would run once per reference.
     """
-    return df.select("*", _scan_generator(text_col, options, path_col))
+    out = df
+    for stage in _scan_stages(text_col, options, path_col):
+        out = out.select("*", stage)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "findings", "suppressed")
 
 
 def is_blocking(finding: Column, options: ScanOptions) -> Column:

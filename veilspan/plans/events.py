@@ -165,7 +165,7 @@ def human_ages(spark, sf_dir):
 AGE = """CASE WHEN s < 60 THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || 's ago' WHEN m < 60 THEN CAST(CAST(m AS BIGINT) AS VARCHAR) || 'm ago'
   WHEN h < 48 THEN CAST(CAST(h AS BIGINT) AS VARCHAR) || 'h ago' ELSE CAST(CAST(floor(h / 24 + 0.5) AS BIGINT) AS VARCHAR) || 'd ago' END"""
 AGES = """SELECT *, floor(m / 60 + 0.5) AS h FROM (SELECT *, floor(s / 60 + 0.5) AS m FROM (SELECT *,
-  greatest(0, floor((epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(at)) / 1000 + 0.5)) AS s FROM {0}))"""
+  greatest(0, floor((epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(seen_at)) / 1000 + 0.5)) AS s FROM {0}))"""
 
 
 def agent_status(spark, sf_dir):
@@ -176,8 +176,8 @@ def agent_status(spark, sf_dir):
     return H.agent_status(agents, wired, H.agent_health(_beats(spark, sf_dir)), now).select("agent", "capability", "status")
 
 
-AGENT_STATUS = f"""WITH {BEATS}, {HOSTS_SQL}, seen AS (SELECT agent, max(last_seen) AS at FROM beats GROUP BY agent), aged AS ({AGES.format('seen')})
-SELECT agent, capability, CASE WHEN at IS NOT NULL THEN 'firing, last seen ' || {AGE} WHEN agent = 'gemini' THEN 'not installed'
+AGENT_STATUS = f"""WITH {BEATS}, {HOSTS_SQL}, seen AS (SELECT agent, max(last_seen) AS seen_at FROM beats GROUP BY agent), aged AS ({AGES.format('seen')})
+SELECT agent, capability, CASE WHEN seen_at IS NOT NULL THEN 'firing, last seen ' || {AGE} WHEN agent = 'gemini' THEN 'not installed'
   WHEN agent IN ('cursor', 'codex') THEN 'wired, but has never fired' WHEN supported THEN 'detected, not wired' ELSE 'detected, no adapter yet' END AS status
 FROM hosts LEFT JOIN aged USING (agent)"""
 
@@ -313,7 +313,7 @@ QUERIES = {
     "agent_heartbeat": (agent_heartbeat, HEARTBEAT),
     "agent_health": (agent_health, f"WITH {BEATS} SELECT agent, string_agg(event || ':' || cnt, ' ' ORDER BY last_seen DESC, event DESC) AS events, max(last_seen) AS last_seen FROM beats GROUP BY agent"),
     "latest_events": (latest_events, f"WITH {BEATS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY last_seen DESC, event DESC) AS place FROM beats) WHERE place <= 4"),
-    "human_age": (human_ages, f"WITH src AS (SELECT event_id, ts AS at FROM events) SELECT event_id, {AGE} AS age FROM ({AGES.format('src')})"),
+    "human_age": (human_ages, f"WITH src AS (SELECT event_id, ts AS seen_at FROM events) SELECT event_id, {AGE} AS age FROM ({AGES.format('src')})"),
     "agent_status": (agent_status, AGENT_STATUS),
     "env_names": (env_names, f"WITH {FIX_CTES} SELECT name, sha256(value) AS value FROM names"),
     "env_lines": (env_lines, f"WITH {FIX_CTES} SELECT name, name || '=' AS example_line, sha256(name || '=' || value) AS env_line FROM names"),
