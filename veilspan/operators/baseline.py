@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import fingerprint, forward_slashes
-from .joins import attach, lookup
-from .scan import BASELINE_NOTE, FINDING, FINDINGS
+from ..options import ScanOptions
+from .joins import attach, cut_lineage, lookup
+from .scan import BASELINE_NOTE, FINDING, FINDINGS, TEST_PATH_NOTE
 
 BASELINE_JSON = "version int, salt string, accepted map<string,string>, _corrupt_record string"
 
@@ -39,20 +42,29 @@ def new_findings(findings: DataFrame, baseline: DataFrame, salt: str, spread_by:
     return mark_accepted(findings, baseline, salt, spread_by).filter(~F.col("accepted")).drop("accepted")
 
 
-def with_baseline(scanned: DataFrame, baseline: DataFrame, salt: str, keys: list[str]) -> DataFrame:
+def with_baseline(scanned: DataFrame, baseline: DataFrame, salt: str, keys: list[str],
+                  options: ScanOptions = ScanOptions()) -> DataFrame:
     """Move accepted findings of a scanned frame from ``findings`` to ``suppressed``.
 
-    Only rows with findings are looked up.  The baseline stands before the test-path downgrade
-    on the ladder, so the accepted finding keeps the confidence of its rule; ``accepted`` says which.
+    The scanned frame is written once, so that looking up its findings does not scan again: drop
+    the texts before.  Only rows with findings are looked up.  The baseline stands before the
+    test-path downgrade on the ladder; a downgraded finding that is accepted is reported with
+    the confidence its rule gave it.
     """
-    rows = scanned.filter(F.size("findings") > 0).select(*keys, F.posexplode("findings").alias("i", "f")).select(
-        *keys, "i", F.col("f.match").alias("match"))
-    hits = (mark_accepted(rows, baseline, salt, [*keys, "i"]).filter("accepted")
-            .groupBy(*keys).agg(F.collect_set("i").alias("_accepted")))
+    scanned = cut_lineage(scanned)
+    rows = scanned.filter(F.size("findings") > 0).select(*keys, F.posexplode("findings").alias("_i", "_f")).select(
+        *keys, "_i", F.col("_f.match").alias("match"))
+    hits = (mark_accepted(rows, baseline, salt, [*keys, "_i"]).filter("accepted")
+            .groupBy(*keys).agg(F.collect_set("_i").alias("_accepted")))
+    given = F.from_json(F.lit(json.dumps({r.id: r.confidence for r in options.rules})), "map<string,string>")
+
+    def rule_confidence(f: Column) -> Column:
+        return F.when(f["note"] == TEST_PATH_NOTE, F.coalesce(given[f["rule_id"]], f["confidence"])).otherwise(f["confidence"])
+
     taken = F.coalesce("_accepted", F.array().cast("array<int>"))
 
     def noted(f: Column) -> Column:
-        return f.withField("note", F.lit(BASELINE_NOTE))
+        return f.withField("note", F.lit(BASELINE_NOTE)).withField("confidence", rule_confidence(f))
 
     return (attach(scanned, hits, keys)
             .withColumn("suppressed", F.array_sort(F.concat("suppressed", F.transform(

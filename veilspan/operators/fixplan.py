@@ -8,7 +8,7 @@ from ..functions.columns import let
 from ..functions.text import line_after, line_before, line_number
 from ..options import ScanOptions
 from .detect import located
-from .joins import attach, cut_lineage, is_small, lookup
+from .joins import attach, cut_lineage, lookup, rank_within
 from .redact import REPLACEMENT, blocking_spans, splice
 from .scan import scan_df
 
@@ -89,44 +89,52 @@ def registry(env: DataFrame) -> DataFrame:
             .agg(F.min_by("name", F.struct("path", "ord")).alias("name")))
 
 
+SUFFIX = r"\A(.+)_([2-9]|[1-9]\d+)\z"
+
+
+def _family(name: str) -> Column:
+    """A base without its numeric tails; only bases of one family can meet on a name."""
+    return F.regexp_replace(name, r"(?:_(?:[2-9]|[1-9]\d+))+\z", "")
+
+
+def _numbers_in_use(taken: DataFrame) -> DataFrame:
+    """Per base the sorted numbers that are taken; 1 stands for the bare base."""
+    bare = taken.select(F.col("name").alias("base"), F.lit(1).alias("k"))
+    tails = taken.filter(F.rlike("name", F.lit(SUFFIX))).select(
+        F.regexp_extract("name", SUFFIX, 1).alias("base"), F.regexp_extract("name", SUFFIX, 2).cast("int").alias("k"))
+    return bare.unionByName(tails).groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
+
+
 def allocate_names(values: DataFrame, env: DataFrame) -> DataFrame:
     """Names for new values (value, base, first_seen): ``BASE``, then ``BASE_2``, ``BASE_3`` ...
 
-    All values of one base are named at once.  Two bases can meet on a name (``KEY_2`` as a base
-    of its own); then only the values before the first such clash are final and the rest goes
-    another round, which gives exactly the names of one-by-one naming.
+    All values of a base are numbered at once.  Two bases of a family can meet on a name (``KEY``
+    and ``KEY_2``); then only the family's values before the first clash are final and its rest
+    goes another round, which gives exactly the names of one-by-one naming.
     """
     taken = env.select("name").distinct()
     pending = cut_lineage(values)
     named = None
     while True:
-        suffix = F.regexp_extract("name", r"\A(.+)_([2-9]|[1-9]\d+)\z", 2)
-        used = (taken.select(F.col("name").alias("base"), F.lit(1).alias("k"))
-                .unionByName(taken.filter(suffix != "").select(
-                    F.regexp_extract("name", r"\A(.+)_([2-9]|[1-9]\d+)\z", 1).alias("base"), suffix.cast("int").alias("k")))
-                .groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used")))
-        turn = F.row_number().over(Window.partitionBy("base").orderBy("first_seen", "value"))
         number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("turn"),
                              lambda n, k: F.when(k <= n, n + 1).otherwise(n))
-        offered = (lookup(pending.withColumn("turn", turn), used, "base", ["value"])
-                   .withColumn("k", number)
+        turns = rank_within(pending, "base", ["first_seen", "value"], "turn")
+        offered = (lookup(turns, _numbers_in_use(taken), "base", ["value"]).withColumn("k", number)
                    .withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(
                        F.concat("base", F.lit("_"), F.col("k").cast("string"))))
+                   .withColumn("family", _family("base"))
+                   # At most one value per base offers a name, so these groups are small.
                    .withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("first_seen", "value"))))
-        offered = cut_lineage(offered.select("value", "base", "first_seen", "name", "place"))
-        clash = offered.filter("place > 1").agg(F.min("first_seen").alias("f")).first()["f"]
-        if clash is None:
-            final = offered
-        else:
-            first = offered.filter("place > 1").select("first_seen").orderBy("first_seen").limit(1)
-            bound = F.broadcast(first.select(F.col("first_seen").alias("clash")))
-            final = offered.join(bound, F.col("first_seen") < F.col("clash"), "left_semi")
-        done = final.select("value", "name")
+        offered = cut_lineage(offered.select("value", "base", "first_seen", "family", "name", "place"))
+        clashes = offered.filter("place > 1").groupBy("family").agg(F.min("first_seen").alias("clash"))
+        final = lookup(offered, clashes, "family", ["value"]).filter("clash IS NULL OR first_seen < clash")
+        done = cut_lineage(final.select("value", "name"))
         named = done if named is None else named.unionByName(done)
-        if clash is None:
+        rest = pending.join(done.select("value"), "value", "left_anti")
+        if rest.isEmpty():
             return named
         taken = cut_lineage(taken.unionByName(done.select("name")))
-        pending = cut_lineage(pending.join(done.select("value"), "value", "left_anti"))
+        pending = cut_lineage(rest)
 
 
 def plan_fixes(df: DataFrame, env: DataFrame, options: ScanOptions = ScanOptions()) -> dict[str, DataFrame]:
@@ -178,5 +186,4 @@ def env_additions(added: DataFrame, env: DataFrame) -> DataFrame:
                       F.concat("name", F.lit("=")).alias("example_line"))
 
 
-__all__ = ["allocate_names", "base_name", "enclosing_literal", "env_additions", "env_lookup", "is_small",
-           "language_of", "parse_env", "plan_fixes", "registry"]
+__all__ = ["allocate_names", "base_name", "enclosing_literal", "env_additions", "env_lookup", "language_of", "parse_env", "plan_fixes", "registry"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -37,14 +37,34 @@ def attach(df: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(extra) if is_small(extra) else extra, keys, "left")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate results; only local runs may go without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="veilspan-")
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor does not repeat the scan that made ``df``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="veilspan-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def rank_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``row_number`` per group that splits a large group over many tasks.
+
+    Rows are range-partitioned by group and order and numbered inside each partition; a
+    group's rows in earlier partitions are added from the totals.
+    """
+    ranged = cut_lineage(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (ranged.groupBy(group, "_part").agg(F.count("*").alias("_rows"))
+              .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
+    inside = Window.partitionBy(group, "_part").orderBy(*order)
+    return (attach(ranged.withColumn(name, F.row_number().over(inside)), before, [group, "_part"])
+            .withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_part", "_before"))

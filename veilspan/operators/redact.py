@@ -8,7 +8,7 @@ from ..functions.columns import empty, let
 from ..functions.predicates import has_placeholders
 from ..options import ScanOptions
 from .detect import located
-from .joins import attach, cut_lineage, is_small, lookup
+from .joins import attach, cut_lineage, lookup
 from .scan import blocking, scan_df
 from .vault import allocate, named_secrets
 
@@ -135,5 +135,5 @@ def rehydrate_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame
             .drop("_tokens", "_exact"))
 
 
-__all__ = ["blocking_spans", "classified_tokens", "first_sightings", "is_small", "placeholder_tokens", "redact_df",
+__all__ = ["blocking_spans", "classified_tokens", "first_sightings", "placeholder_tokens", "redact_df",
            "redact_spans", "rehydrate_df", "resembles", "splice"]

@@ -125,12 +125,30 @@ def save_vault(vault: DataFrame, path: str) -> None:
     vault.select("placeholder", "secret", "at").write.mode("overwrite").parquet(f"{path}/v{(done or [0])[-1] + 1}")
 
 
+def extend_vault(added: DataFrame, path: str, now: Column) -> None:
+    """Add entries and renew all of a stored vault that is alive, without rewriting it.
+
+    A renewal is one row without a placeholder: it moves the expiry of every entry that was
+    alive when it was written.
+    """
+    _, done = _versions(added.sparkSession, path)
+    mark = added.sparkSession.range(1).select(F.lit(None).cast("string").alias("placeholder"), F.lit(None).cast("string").alias("secret"))
+    (added.select("placeholder", "secret").unionByName(mark).withColumn("at", now)
+     .write.mode("append").parquet(f"{path}/v{(done or [1])[-1]}"))
+
+
 def load_vault(spark: SparkSession, path: str, now: Column | None = None, ttl: timedelta = TTL) -> DataFrame:
+    """Live entries of the last version, each with the time of its last renewal."""
     _, done = _versions(spark, path)
     if not done:
         return empty_vault(spark)
+    now = F.current_timestamp() if now is None else now
     stored = spark.read.schema(VAULT).parquet(f"{path}/v{done[-1]}")
-    return live(stored, F.current_timestamp() if now is None else now, ttl)
+    marks = stored.filter("placeholder IS NULL").agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    if marks["first"] is None:
+        return live(stored, now, ttl)
+    renewed = live(stored, F.lit(marks["first"]), ttl).withColumn("at", F.greatest("at", F.lit(marks["last"])))
+    return live(renewed, now, ttl)
 
 
 def clear_vault(spark: SparkSession, path: str) -> bool:

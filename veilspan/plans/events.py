@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SENSITIVE_COMMAND as COMMAND_PATTERN, is_sensitive_command, is_sensitive_path
 from ..functions.text import human_age
 from ..operators import fixplan as X, heartbeat as H, policy as P
+from ..operators.joins import shared_folder
 from ..operators.vault import empty_vault, key_frame
 from ..options import ScanOptions
 from ..sources.messages import parse_events
@@ -249,17 +250,8 @@ LOOKUP = ("CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'process.
 
 # --- streams -----------------------------------------------------------------------------
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="veilspan-stream-")
-
-
-def _shared(spark) -> str:
-    """A folder every executor sees: under the cluster's checkpoint folder where one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return _folder()
-    import uuid
-    return f"{base.rstrip('/')}/veilspan-stream-{uuid.uuid4().hex}"
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir, name):
@@ -269,7 +261,7 @@ def _stream(spark, sf_dir, name):
 
 def stream_redact(spark, sf_dir):
     """The conversation turns as a stream, masked with a stored vault."""
-    base = _shared(spark)
+    base = _new_folder(spark)
     turns = with_prompt_samples(_stream(spark, sf_dir, "conversations")).select("row_id", "text")
     G.redact_stream(turns, "text", ["row_id"], f"{base}/vault", KEY, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("row_id", F.sha2("text", 256).alias("text"), "redactions")
@@ -279,7 +271,7 @@ STREAM_REDACT = f"WITH {PROMPT_SERIOUS}, {vault_sql('row_id')}, {spliced_sql('ro
 
 
 def stream_heartbeat(spark, sf_dir):
-    base = _shared(spark)
+    base = _new_folder(spark)
     events = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("agent"), F.col("event_type").alias("event"), F.col("ts").alias("at"))
     G.heartbeat_stream(events, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return G.current_heartbeats(spark, f"{base}/out")
@@ -290,7 +282,7 @@ HEARTBEAT = "SELECT CAST(user_id AS VARCHAR) AS agent, event_type AS event, max(
 
 def stream_decisions(spark, sf_dir):
     """Tool events arriving as JSON lines, some broken: decided as they come."""
-    base = _shared(spark)
+    base = _new_folder(spark)
     turns = with_prompt_samples(_stream(spark, sf_dir, "conversations"))
     payload = F.to_json(F.struct(F.lit("prompt").alias("hookEventName"), F.col("text").alias("prompt")))
     lines = turns.select("row_id", F.when(F.col("turn") % 4 == 3, F.substring(payload, 2, 40)).otherwise(payload).alias("value"))

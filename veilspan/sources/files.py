@@ -16,11 +16,11 @@ CHANGED = ("A", "C", "M", "R")
 def text_files(spark: SparkSession, root: str) -> DataFrame:
     """Every admitted file below a folder: small enough, no NUL, bad bytes replaced.
 
-    Size and path come from the listing, so the contents of other files are not read.
+    The size limit is pushed into the listing, so larger files are not read.
     """
     folders = "|".join(name.replace(".", r"\.") for name in (*SKIPPED_FOLDERS, OWN_STATE))
-    base = F.lit(root.rstrip("/") + "/")
-    inside = F.element_at(F.split(forward_slashes(F.col("path")), base, 2), -1)
+    base, path = root.rstrip("/") + "/", forward_slashes(F.col("path"))
+    inside = F.substring(path, F.instr(path, base) + len(base), F.length(path))
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root))
     listed = raw.filter((F.col("length") <= MAX_BYTES) & ~F.rlike(inside, F.lit(rf"(?:\A|/)(?:{folders})/")))

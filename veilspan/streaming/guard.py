@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.heartbeat import heartbeat
-from ..operators.policy import DECISION, decision, first_text, guard_message, sensitive_call, tool_text
+from ..operators.policy import DECISION, decision, guard_message, sensitive_call, tool_text
 from ..operators.redact import redact_df
 from ..operators.scan import blocking, scan_df
-from ..operators.vault import load_vault, refreshed, save_vault
+from ..operators.vault import extend_vault, key_frame, load_vault, refreshed, save_vault
 from ..options import ScanOptions
 
 
@@ -28,13 +28,14 @@ def redact_stream(stream: DataFrame, text_col: str, keys: list[str], vault_path:
     The vault is written before the output, and the output folder is named by the batch.  A
     repeated batch finds its secrets in the vault, gives the same names and overwrites itself.
     """
-    from ..operators.vault import key_frame
-
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         vault = load_vault(spark, vault_path)
         out, added = redact_df(batch, text_col, keys, vault, key_frame(spark, key), options)
-        save_vault(refreshed(vault, added, F.current_timestamp()), vault_path)
+        if vault.isEmpty():
+            save_vault(refreshed(vault, added, F.current_timestamp()), vault_path)
+        else:
+            extend_vault(added, vault_path, F.current_timestamp())
         (out.select(*keys, F.col("redacted").alias(text_col), F.size("replacements").alias("redactions"))
          .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}"))
     return started(stream, each, checkpoint, once=once)
@@ -70,9 +71,8 @@ def heartbeat_stream(events: DataFrame, out_path: str, checkpoint: str, once: bo
 
 def current_heartbeats(spark: SparkSession, out_path: str) -> DataFrame:
     """The newest row of each (agent, event) written by the stream."""
-    order = Window.partitionBy("agent", "event").orderBy(F.desc("batch"))
-    return (spark.read.parquet(out_path).withColumn("turn", F.row_number().over(order))
-            .filter("turn = 1").drop("turn", "batch"))
+    return (spark.read.parquet(out_path).groupBy("agent", "event")
+            .agg(F.max_by(F.struct("last_seen", "cnt"), "batch").alias("newest")).select("agent", "event", "newest.*"))
 
 
-__all__ = ["current_heartbeats", "dead_letters", "first_text", "heartbeat_stream", "redact_stream", "tool_decisions"]
+__all__ = ["current_heartbeats", "dead_letters", "heartbeat_stream", "redact_stream", "tool_decisions"]
