@@ -124,3 +124,15 @@ def test_line_anchors(spark):
     assert ask(spark, text, lambda v: F.regexp_count(v, F.lit(to_java("^[a-z]=", "m")))) == [3]
     assert ask(spark, text, lambda v: F.regexp_count(v, F.lit(to_java("[0-9]$", "m")))) == [3]
     assert ask(spark, ["a\n"], lambda v: F.rlike(v, F.lit(to_java("a$")))) == [False]
+
+
+def test_sql_functions(spark):
+    from veilspan.functions.sql import register_functions
+    register_functions(spark)
+    values = [*REAL, *STAND_INS, "", "q\"'x"]
+    column(spark, values).createOrReplaceTempView("vals")
+    rows = spark.sql("SELECT v, is_placeholder_value(v) p, shannon_entropy(v) e, fingerprint(v, 's') f, has_placeholders(v) h FROM vals ORDER BY i").collect()
+    assert [r["p"] for r in rows] == ask(spark, values, P.is_placeholder_value)
+    assert [r["e"] for r in rows] == pytest.approx(ask(spark, values, T.shannon_entropy))
+    assert [r["f"] for r in rows] == ask(spark, values, lambda v: T.fingerprint(v, "s"))
+    assert [r["h"] for r in rows] == [v.startswith("MASKED_") for v in values]

@@ -200,3 +200,8 @@ def test_options_from_mapping():
     with pytest.raises(ValueError):
         ScanOptions(mode="x")
     assert re.match("M", o.prefix)
+
+
+def test_engine_self_test(spark):
+    from veilspan import self_test
+    assert self_test(spark) and not self_test(spark, ScanOptions(disabled=("aws", "generic")))

@@ -208,3 +208,9 @@ def test_registered_queries_agree_with_their_twins(spark, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_event_routing(spark):
+    df = spark.createDataFrame([("UserPrompt",), ("PreTool",), ("PostTool",), ("x",), ("",)], "e string")
+    kinds = df.select(P.event_kind(F.col("e"), ["UserPrompt"], ["PreTool"], ["PostTool"]).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["prompt", "tool", "result", "other", "other"]

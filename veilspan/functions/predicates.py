@@ -37,6 +37,9 @@ REFERENCE_ROOTS = (
     "var", "local", "data", "module", "env", "process", "os", "config", "conf", "cfg",
     "settings", "secrets", "vault", "self", "this",
 )
+PROVIDER_PREFIX = r"\A[A-Za-z]{2,12}[_-]"
+TEMPLATE_EDGE = r"\A[<{$%]|[>}%]\z"
+SAME_CHARACTER = r"(.)\1{5,}"
 SEQUENCES = ("0123456789", "abcdefghij", "qwertyuiop", "1234567890")
 
 TEST_PATH = (
@@ -76,7 +79,7 @@ def is_placeholder_value(value: Column, prefix: str = "MASKED") -> Column:
     def check(both: Column) -> Column:
         v, low = both["v"], both["low"]
         bare = F.regexp_replace(low, "[^a-z0-9]", "")
-        body = F.regexp_replace(v, r"\A[A-Za-z]{2,12}[_-]", "")
+        body = F.regexp_replace(v, PROVIDER_PREFIX, "")
         return any_of([
             v.isin(*KNOWN_FAKES),
             F.rlike(low, F.lit(markers)),
@@ -84,11 +87,11 @@ def is_placeholder_value(value: Column, prefix: str = "MASKED") -> Column:
             F.size(F.array_intersect(F.split(low, "[^a-z0-9]+"), _word_list(WEAK_WORDS))) >= 2,
             F.rlike(bare, F.lit(rf"\A(?:{'|'.join((*WEAK_WORDS, *STRONG_WORDS))})\z")),
             F.rlike(v, F.lit(rf"(?i)\A(?:{'|'.join(REFERENCE_ROOTS)})[.\[]")),
-            F.rlike(v, F.lit(r"\A[<{$%]|[>}%]\z")),
+            F.rlike(v, F.lit(TEMPLATE_EDGE)),
             F.rlike(low, F.lit("x{4,}")),
             let(F.lower(body), lambda b: (F.length(b) > 3) & (F.size(F.array_distinct(F.split(b, ""))) <= 2)),
             F.rlike(low, F.lit("|".join(SEQUENCES))),
-            F.rlike(v, F.lit(to_java(r"(.)\1{5,}"))),
+            F.rlike(v, F.lit(to_java(SAME_CHARACTER))),
         ])
     return let(F.struct(value.alias("v"), F.lower(value).alias("low")), check)
 

@@ -133,3 +133,10 @@ def findings_table(scanned: DataFrame, keys: list[str], text_col: str | None = N
     if text_col:
         rows = rows.withColumn("line", line_number(F.col(text_col), F.col("start"))).drop(text_col)
     return rows
+
+
+def self_test(spark: SparkSession, options: ScanOptions = ScanOptions()) -> bool:
+    """Does the engine find a known shape, exactly once, right now?"""
+    canary = "AKIA" + "4KTNQ7VZL2WXMP3D"
+    found = scan_df(spark.createDataFrame([(f'aws_access_key_id = "{canary}"',)], "text string"), "text", options)
+    return found.select(F.size(blocking(F.col("findings"), options)).alias("n")).first()["n"] == 1

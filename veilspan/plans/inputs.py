@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0], df.columns[1])
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
