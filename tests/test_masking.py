@@ -183,6 +183,13 @@ def test_messages(spark):
     assert AWS not in answered[3]["outgoing"] and answered[0]["outgoing"] == lines[0]
 
 
+def test_text_of_tool_results(spark):
+    from veilspan.operators.nested import result_text
+    values = ['"a"', '["a", "", 1, ["b"]]', '{"x": "", "y": ["", "c"], "z": 2, "w": {"v": "d"}}', "3", "no", None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", result_text("v").alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == ["a", "a\nb", "\nc\nd", "", "", ""]
+
+
 def test_event_payload_spellings(spark):
     lines = ['{"hook_event_name":"pre","tool_name":"t","tool_input":{"command":"ls"}}', '{"hookEventName":"post","toolResponse":{"a":["x"]}}', "{"]
     a, b, c = parse_events(spark.createDataFrame([(x,) for x in lines], "value string")).collect()

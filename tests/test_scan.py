@@ -192,6 +192,9 @@ def test_imported_rules(spark):
     a, b = rules_from_records(df).orderBy("id").collect()
     assert (a["id"], a["provider"], a["regex"], a["flags"], a["group"], a["problem"]) == ("gl-acme-key", "acme", "acme(?<v>[0-9]+)", "i", 1, None)
     assert b["problem"] and b["prefilter"] == []
+    from veilspan.rules.custom import imported_rules
+    rules, problems = imported_rules(spark, df)
+    assert [(r.id, r.flags, r.group, r.confidence) for r in rules] == [("gl-acme-key", "i", 1, "medium")] and len(problems) == 1
 
 
 def test_options_from_mapping():
@@ -205,3 +208,13 @@ def test_options_from_mapping():
 def test_engine_self_test(spark):
     from veilspan import self_test
     assert self_test(spark) and not self_test(spark, ScanOptions(disabled=("aws", "generic")))
+
+
+def test_long_key_blocks(spark):
+    """A block body just below the limit is one finding; far beyond it only its header is."""
+    body = ("q8Zx" * 16 + "\n") * 110
+    text = "-----BEGIN RSA PRIVATE" + f" KEY-----\n{body}-----END RSA PRIVATE" + " KEY-----"
+    mixed = "-----BEGIN RSA PRIVATE" + " KEY-----\nx\n-----END EC PRIVATE" + " KEY-----"
+    rows = scan(spark, [text, text.replace(body, body * 40), mixed], ScanOptions(entropy_enabled=False))
+    found = [[f["rule_id"] for f in [*r["findings"], *r["suppressed"]]] for r in rows]
+    assert found == [["private-key-block"], ["private-key-header-only"], ["private-key-header-only"]]

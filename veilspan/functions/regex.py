@@ -7,6 +7,8 @@ import re
 # Code points matched by \s in ECMAScript; single Latin-1 characters stay a bit test in the JVM.
 SPACE = r"\t\n\x0B\f\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 LINE_END = r"\n\r\u2028\u2029"
+# Any character as a class: repeated, it is matched in a loop and not by recursion.
+ANY = r"[\x{0}-\x{10FFFF}]"
 # Unlike \b, \w is ASCII in every JVM.
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # A boundary in front of something that can only start with a word character.
@@ -24,12 +26,12 @@ def to_java(pattern: str, flags: str = "", trusted: bool = False) -> str:
     """
     out: list[str] = []
     i, in_class, multiline = 0, False, "m" in flags
-    dot = "(?s:.)" if "s" in flags else f"[^{LINE_END}]"
+    dot = ANY if "s" in flags else f"[^{LINE_END}]"
     while i < len(pattern):
         c = pattern[i]
         two = pattern[i:i + 2]
         if not in_class and pattern.startswith(r"[\s\S]", i):
-            out.append("(?s:.)")
+            out.append(ANY)
             i += 6
         elif c == "\\":
             if two == r"\s":

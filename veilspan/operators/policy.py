@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.columns import let
 from ..functions.predicates import is_sensitive_command, is_sensitive_path
 from ..options import ScanOptions
+from .nested import result_text
 from .redact import blocking_spans, redact_spans, rehydrate_df
 from .scan import blocking, scan_df
 from .vault import empty_vault
@@ -180,6 +181,14 @@ def result_context(substituted: Column, warnings: Column) -> Column:
             .when(substituted > 0, F.concat(F.lit("restored "), substituted.cast("string"), F.lit(" value(s)"))))
 
 
+def decide_results(df: DataFrame, result_col: str, keys: list[str], vault: DataFrame,
+                   options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Add ``context`` and ``substituted`` for tool results given as JSON text."""
+    restored = guard_inbound(df.withColumn("_text", result_text(F.col(result_col))), "_text", keys, vault, options)
+    return (restored.withColumn("context", result_context(F.col("substituted"), F.col("warnings")))
+            .drop("_text", "restored", "warnings"))
+
+
 def host_response(decided: Column, event_kind: Column, asks: Column, rewrites: Column) -> Column:
     """The decision as the host can express it.
 

@@ -10,6 +10,7 @@ from ..functions.text import fingerprint, key_pads
 from ..operators import vault as V
 from ..operators.lock import lock_files, unlock_files
 from ..operators.nested import redact_json, redact_nested
+from ..operators.policy import decide_results
 from ..operators.redact import (blocking_spans, classified_tokens, first_sightings, placeholder_tokens, redact_df,
                                 rehydrate_df)
 from ..operators.scan import scan_df
@@ -151,6 +152,15 @@ BENT = (f"WITH {SERIOUS}, {vault_sql()}, listed AS (SELECT d.doc_id, coalesce(st
         "ELSE 'unknown' END AS kind FROM tok)")
 
 
+def tool_results(spark, sf_dir):
+    """Placeholders coming back inside tool results: restored, or doubted with a warning."""
+    texts, vault = _bent(spark, sf_dir)
+    result = F.to_json(F.struct(F.array(F.lit(""), F.col("text")).alias("out"), F.lit(1).alias("code")))
+    done = decide_results(texts.select("doc_id", result.alias("result")), "result", ["doc_id"], vault)
+    return done.select("doc_id", "substituted", F.when(F.startswith("context", F.lit("restored")), F.col("context"))
+                       .when(F.col("context").isNotNull(), "warning").alias("context"))
+
+
 def vault_live(spark, sf_dir):
     """Events as vault entries of different ages: what is still alive at the newest time."""
     events = table(spark, sf_dir, "events")
@@ -252,6 +262,9 @@ QUERIES = {
                            "+ len(list_aggregate(list_slice(regexp_extract_all(text, 'MASKED_[A-Za-z0-9_]*'), 1, i), 'string_agg', '')) - len(token) AS start_at, token, kind FROM kinds"),
     "rehydrate_counts": (rehydrate_counts, BENT + " SELECT b.doc_id, count(*) FILTER (kind = 'exact') AS substituted, "
                          "count(*) FILTER (kind <> 'exact') AS warnings FROM bent b LEFT JOIN kinds k USING (doc_id) GROUP BY b.doc_id"),
+    "tool_results": (tool_results, BENT + ", per AS (SELECT b.doc_id, count(*) FILTER (kind = 'exact') AS substituted, count(*) FILTER (kind <> 'exact') AS warnings "
+                     "FROM bent b LEFT JOIN kinds k USING (doc_id) GROUP BY b.doc_id) SELECT doc_id, substituted, CASE WHEN warnings > 0 THEN 'warning' "
+                     "WHEN substituted > 0 THEN 'restored ' || substituted || ' value(s)' END AS context FROM per"),
     "vault_live": (vault_live, VAULT_LIVE),
     "locked_files": (locked_files, LOCKED),
     "unlocked_files": (unlocked_files, None),

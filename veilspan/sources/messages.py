@@ -15,29 +15,11 @@ RESPONSE_NAMES = ("tool_response", "toolResponse", "tool_output", "output")
 
 
 def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Drop blank lines; ``parsed`` tells the others apart, ``guarded_part`` is what to look into.
-
-    A request carries ``params`` and a response ``result``; a line that does not parse passes on.
-    """
+    """Drop blank lines and tell messages from other lines (``parsed``)."""
     parsed = strict_json(F.col(value))
     return (lines.filter(F.trim(F.col(value)) != "")
             .withColumn("parsed", parsed.isNotNull())
-            .withColumn("method", F.try_variant_get(parsed, "$.method", "string"))
-            .withColumn("params", F.when(parsed.isNotNull(), F.get_json_object(value, "$.params")))
-            .withColumn("result", F.when(parsed.isNotNull(), F.get_json_object(value, "$.result"))))
-
-
-def _rewrapped(value: Column, part: str, inner: Column) -> Column:
-    """The message with one member replaced, other members as they were."""
-    members = F.from_json(value, "map<string,string>")
-    pairs = F.transform(F.map_entries(members), lambda e: F.concat(
-        F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"),
-        F.when(e["key"] == part, inner).otherwise(F.coalesce(_raw(value, e["key"]), F.lit("null")))))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-
-
-def _raw(value: Column, key: Column) -> Column:
-    return F.to_json(F.try_variant_get(F.try_parse_json(value), F.concat(F.lit("$['"), key, F.lit("']")), "variant"))
+            .withColumn("method", F.try_variant_get(parsed, "$.method", "string")))
 
 
 def guard_messages(lines: DataFrame, keys: list[str], direction: str, vault: DataFrame, key: DataFrame,
@@ -47,10 +29,10 @@ def guard_messages(lines: DataFrame, keys: list[str], direction: str, vault: Dat
     Adds ``outgoing`` and ``redactions``.  A message without credentials goes out as it came.
     """
     part = {"request": "params", "response": "result"}[direction]
-    parsed = parse_messages(lines, value)
-    masked, added = redact_json(parsed.withColumn("_part", F.col(part)), "_part", keys, vault, key, options)
-    out = masked.withColumn("outgoing", F.when(F.col("redactions") > 0, _rewrapped(
-        F.col(value), part, F.col("_part"))).otherwise(F.col(value)))
+    # A line that does not parse is not looked into and passes on.
+    messages = parse_messages(lines, value).withColumn("_message", F.when(F.col("parsed"), F.col(value)))
+    masked, added = redact_json(messages, "_message", keys, vault, key, options, part)
+    out = masked.withColumn("outgoing", F.coalesce("_message", value))
     return out.select(*lines.columns, "method", "parsed", "outgoing", "redactions"), added
 
 
