@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, html_extract, licenses, line_dedup, packing, quality, simhash, toxicity
+from . import ann, chat, decontaminate, html_extract, licenses, line_dedup, packing, quality, simhash, toxicity
 from .common import held_out, table
 
 
@@ -35,6 +35,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 20, lambda vec_id: vec_id % 20 == 0)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
@@ -72,4 +76,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("licences", ",").alias("licences"))
 
 
-QUERIES = {q.__name__: (q, None) for q in (op1_html, op2_chat, op3_quality, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses)}
+QUERIES = {q.__name__: (q, None) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses)}
