@@ -106,11 +106,11 @@ def _joined(spans: list[int]) -> list[int]:
 
 def _scanner(shared, n: int):
     @F.pandas_udf(HITS)
-    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         grams = Grams(shared.value, n)
-        for texts, before, had in batches:
+        for texts, before in batches:
             rows = []
-            for text, spans, items in zip(texts, before, had):
+            for text, spans, items in zip(texts, before["spans"], before["items"]):
                 ids = grams.ids(text)
                 found, named = grams.hits(ids)
                 if spans is not None and len(spans):
@@ -143,11 +143,10 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     """
     context = docs.sparkSession.sparkContext
     out = docs
-    nothing = (F.array().cast("array<int>"), F.array().cast("array<string>"))
+    before = F.struct(F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for at, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
         scan = _scanner(context.broadcast(block), n)
-        before = (F.col(f"{name}.spans"), F.col(f"{name}.items")) if at else nothing
-        out = out.withColumn(name, scan(F.col(text), *before))
+        out = out.withColumn(name, scan(F.col(text), F.col(name) if at else before))
     return out
 
 

@@ -35,7 +35,7 @@ SENTENCES = {
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
-    "mpl-line": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "mpl-line": "this source code form is subject to the terms of the mozilla public license v",
     "cc-by-nc-line": "licensed under cc by nc 4.0",
     "cc-by-line": "licensed under cc by 4.0",
     "cc-by-sa-line": "licensed under cc by sa 4.0",
