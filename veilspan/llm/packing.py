@@ -12,9 +12,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,25 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 BUCKETS = 64
 PIECE_CHARS = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
+#: A mark after a letter or digit begins a new piece for the tokenizer, so a blank between them changes no id.
+_MARK = re.compile(r"[.,;:!?*$%#&](?<=[^\W_].)")
+#: Parts pieces that are encoded together; as a word of its own it is one id, which no other word has.
+STOP = "`"
+_ENCODERS: dict[str | None, "Encoder"] = {}
+
+
+class Places(dict):
+    """Numbers of pieces; a new piece gets the next number and waits to be learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = len(self)
+        self.waiting.append(piece)
+        return at
 
 
 class Encoder:
@@ -39,50 +58,84 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+        tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without offsets
+        own = self.encode([STOP], add_special_tokens=False)[0].ids
+        self.stop = own[0] if len(own) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.place = Places()
+        self.starts, self.sizes, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
-    def learn(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        for piece, encoding in zip(pieces, found):
-            ids, at = encoding.ids, len(self.place)
-            while at >= len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * at), np.resize(self.sizes, 2 * at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.starts[at], self.sizes[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[piece] = at
-
-    def _some(self, text: str) -> np.ndarray:
+    def learn(self) -> None:
+        """Encodes the waiting pieces as one text, parted by a mark; those that hold the mark go one by one."""
+        pieces, self.place.waiting = self.place.waiting, []
+        alone = [p == "" or STOP in p for p in pieces] if self.stop is not None else [True] * len(pieces)
+        joined = [p for p, x in zip(pieces, alone) if not x]
+        ids = np.array(self.encode([f" {STOP} ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(ids == self.stop) if joined else np.array([], np.int64)
+        parts = np.delete(ids, stops)
+        cuts = stops - np.arange(len(stops))
+        if not any(alone):
+            self._keep(len(pieces), parts, cuts)
+            return
+        own = iter(np.split(parts, cuts)) if joined else iter(())
+        found = [np.array(self.encode([p], add_special_tokens=False)[0].ids, np.uint32) if x else next(own) for p, x in zip(pieces, alone)]
+        self._keep(len(pieces), np.concatenate(found), np.cumsum([len(f) for f in found])[:-1])
+
+    def _keep(self, n: int, ids: np.ndarray, cuts: np.ndarray) -> None:
+        at, total = self.known, len(ids)
+        begins, sizes = np.append(0, cuts), np.diff(np.concatenate(([0], cuts, [total])))
+        while at + n > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used:self.used + total] = ids
+        self.starts[at:at + n], self.sizes[at:at + n] = self.used + begins, sizes
+        self.used += total
+        self.known += n
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > REMEMBERED:
             self.forget()
-        pieces = text.replace("\n", " ").split(" ")
-        places = list(map(self.place.get, pieces))
-        if None in places:
-            self.learn(list(dict.fromkeys(p for p in pieces if p not in self.place)))
-            places = list(map(self.place.get, pieces))
-        at = np.array(places)
+        pieces, counts = [], []
+        for text in texts:
+            own = _MARK.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
+            pieces += own
+            counts.append(len(own))
+        at = np.array(list(map(self.place.__getitem__, pieces)))
+        if self.place.waiting:
+            self.learn()
         sizes = self.sizes[at]
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
+        after = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.starts[at] - after + sizes, sizes) + np.arange(sizes.sum())]
+        return np.split(flat, after[np.cumsum(counts) - 1][:-1])
+
+    def many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; short texts are handled together, long ones in parts that end at a blank."""
+        waiting, size = [], 0
+        for text in texts:
+            if size + len(text) > PIECE_CHARS and waiting:
+                yield from self._some(waiting)
+                waiting, size = [], 0
+            if len(text) > PIECE_CHARS:
+                parts, at = [], 0
+                while at < len(text):
+                    end = text.find(" ", at + PIECE_CHARS)
+                    end = len(text) if end < 0 else end
+                    parts += self._some([text[at:end]])
+                    at = end
+                yield np.concatenate(parts)
+            else:
+                waiting.append(text)
+                size += len(text)
+        if waiting:
+            yield from self._some(waiting)
 
     def ids(self, text: str) -> np.ndarray:
-        if len(text) <= PIECE_CHARS:
-            return self._some(text)
-        parts, at = [], 0
-        while at < len(text):  # long texts in parts that end at a blank
-            end = text.find(" ", at + PIECE_CHARS)
-            end = len(text) if end < 0 else end
-            parts.append(self._some(text[at:end]))
-            at = end
-        return np.concatenate(parts)
+        return next(self.many([text]))
 
 
 def _pieces(window: int, end_id: int, path: str | None, with_ids: bool):
@@ -90,11 +143,12 @@ def _pieces(window: int, end_id: int, path: str | None, with_ids: bool):
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))  # kept between a worker's tasks
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(encoder.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            texts = (text.as_py() or "" for text in batch.column("text"))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(texts)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window].tobytes()
                     row = (doc, start, len(piece) // 4, zlib.crc32(piece), len(ids), piece)
