@@ -177,7 +177,7 @@ def test_plan_has_no_shuffle_and_scans_once(spark):
 
 def test_custom_rules(spark):
     specs = [{"id": " mine ", "regex": r"MINE-[0-9a-f]{8}", "prefilter": ["MINE-"]}, {"regex": "x"}, {"id": "a"}, {"id": "b", "regex": "(x"},
-             {"id": "c", "regex": "(a+)+$"}, {"id": "d", "regex": "x*"}, {"id": "e", "regex": "E[0-9]+", "confidence": "odd", "group": -1}]
+             {"id": "c", "regex": r"(a*)*\1b"}, {"id": "d", "regex": "x*"}, {"id": "e", "regex": "E[0-9]+", "confidence": "odd", "group": -1}]
     rules, problems = build_rules(spark, specs)
     assert [r.id for r in rules] == ["mine", "e"] and len(problems) == 5
     assert rules[0].provider == "custom" and rules[1].confidence == "high" and rules[1].group == 0

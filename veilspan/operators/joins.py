@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -33,8 +34,11 @@ def lookup(left: DataFrame, right: DataFrame, on: str, spread_by: list[str], how
 
 
 def attach(df: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join per-row extras on the unique row keys; large texts move only if they must."""
-    return df.join(F.broadcast(extra) if is_small(extra) else extra, keys, "left")
+    """Left join extras that are unique on ``keys``; null keys find each other. Large rows move only if they must."""
+    own = {k: f"_attached_{i}" for i, k in enumerate(keys)}
+    right = extra.select(*[F.col(k).alias(own[k]) for k in keys], *[c for c in extra.columns if c not in own])
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(right[own[k]]) for k in keys])
+    return df.join(F.broadcast(right) if is_small(right) else right, same, "left").drop(*own.values())
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ from ..functions.columns import let
 from ..functions.predicates import is_sensitive_command, is_sensitive_path
 from ..options import ScanOptions
 from .nested import result_text
-from .redact import blocking_spans, redact_spans, rehydrate_df
+from .redact import ROW, blocking_spans, redact_spans, rehydrate_df, with_row
 from .scan import blocking, scan_df
 from .vault import empty_vault
 
@@ -84,8 +84,8 @@ def guard_outbound(df: DataFrame, text_col: str, keys: list[str], options: ScanO
         if key is None:
             raise ValueError("redact mode needs a vault key")
         vault = empty_vault(df.sparkSession) if vault is None else vault
-        spans = blocking_spans(scanned, keys, options)
-        out, added = redact_spans(df, text_col, spans, keys, vault, key, options)
+        spans = blocking_spans(with_row(scanned, text_col, path_col), [*keys, ROW], options)
+        out, added = redact_spans(df, text_col, spans, keys, vault, key, options, path_col)
         # The spans came back with the replacements, so the texts are not scanned again.
         serious = F.col("replacements")
         outgoing = F.col("redacted")
@@ -124,10 +124,10 @@ def first_text(fields: Column, names) -> Column:
     return F.coalesce(*[F.nullif(fields[n], F.lit("")) for n in names], F.lit(""))
 
 
-def tool_text(tool_input: Column) -> Column:
-    """Known text fields joined by newlines, otherwise every value longer than 8 characters."""
+def tool_text(tool_input: Column, longer_than: int = 0) -> Column:
+    """Known text fields joined by newlines, otherwise every value longer than ``longer_than`` characters."""
     known = F.array_compact(F.array(*[tool_input[n] for n in TEXT_FIELDS]))
-    rest = F.filter(F.map_values(tool_input), lambda v: F.length(v) > 8)
+    rest = F.filter(F.map_values(tool_input), lambda v: F.length(v) > longer_than)
     return F.coalesce(let(known, lambda k: F.array_join(F.when(F.size(k) > 0, k).otherwise(rest), "\n")), F.lit(""))
 
 
@@ -155,7 +155,7 @@ def sensitive_call(tool_input: Column) -> Column:
     return (F.when((path != "") & is_sensitive_path(path), decision("deny", F.concat(
                 path, F.lit(" holds credentials; read the names from an example file instead"))))
             .when((command != "") & is_sensitive_command(command), decision("deny", F.concat(
-                F.lit("this command would print credentials:\n  "), F.substring(command, 1, 200))))).cast(DECISION)
+                F.lit("this command would print credentials:\n  "), command)))).cast(DECISION)
 
 
 def decide_prompts(df: DataFrame, text_col: str, keys: list[str], capability: Column,

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import empty, let
 from ..functions.predicates import has_placeholders
 from ..options import ScanOptions
-from .detect import located
-from .joins import attach, cut_lineage, lookup
+from .detect import located, worth_a_look
+from .joins import attach, cut_lineage, is_small, lookup
 from .scan import blocking, scan_df
 from .vault import allocate, named_secrets
 
@@ -16,6 +16,33 @@ REPLACEMENT = "struct<start:int,end:int,value:string,rule_id:string,provider:str
 WARNING = "struct<kind:string,token:string,message:string>"
 
 
+# Name of the column that tells rows apart while spans are away from their texts.
+ROW = "_veil_row"
+
+
+def row_identity(text: Column, path: Column | None = None) -> Column:
+    """What a row's findings depend on, as a digest: its text, and its path where paths count.
+
+    Rows that share it have the same replacements.  So a row without a key, or one of several
+    with the same key, gets its own replacements and never those of another text.
+    """
+    return F.md5(F.concat(F.coalesce(F.md5(text.cast("binary")), F.lit("-")), F.lit("") if path is None else F.coalesce(F.md5(path.cast("binary")), F.lit("-"))))
+
+
+def attach_to_hits(df: DataFrame, extra: DataFrame, identity: Column, may_hit: Column) -> DataFrame:
+    """Left join extras by row identity.  Texts that cannot hit take no part, so that only the others ever move."""
+    if is_small(extra):
+        return attach(df.withColumn(ROW, identity), extra, [ROW]).drop(ROW)
+    possible = F.coalesce(may_hit, F.lit(False))
+    moved = attach(df.filter(possible).withColumn(ROW, identity), extra, [ROW]).drop(ROW)
+    return moved.unionByName(df.filter(~possible), allowMissingColumns=True)
+
+
+def sound_prefilter(options: ScanOptions) -> bool:
+    """Does ``worth_a_look`` speak for all rules? User rules are unknown to it."""
+    return all(rule.implies is not None for rule in options.rules)
+
+
 def splice(text: Column, replacements: Column) -> Column:
     """Text with each span [start, end) replaced by ``value``; spans are in order and apart."""
     def pieces(reps: Column) -> Column:
@@ -32,6 +59,10 @@ def blocking_spans(scanned: DataFrame, keys: list[str], options: ScanOptions) ->
     return scanned.select(*keys, F.explode(blocking(F.col("findings"), options)).alias("f")).select(*keys, "f.*")
 
 
+def with_row(scanned: DataFrame, text_col: str, path_col: str | None = None) -> DataFrame:
+    return scanned.withColumn(ROW, row_identity(F.col(text_col), None if path_col is None else F.col(path_col)))
+
+
 def first_sightings(spans: DataFrame, keys: list[str]) -> DataFrame:
     """One row per secret, named by its first finding: row order, then last in the text first."""
     seen = F.struct(*[F.col(k) for k in keys], (-F.col("start")).alias("back"))
@@ -41,14 +72,17 @@ def first_sightings(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def redact_spans(df: DataFrame, text_col: str, spans: DataFrame, keys: list[str], vault: DataFrame, key: DataFrame,
-                 options: ScanOptions) -> tuple[DataFrame, DataFrame]:
-    """Splice placeholders over the given spans; returns the frame and the new vault rows."""
-    spans = cut_lineage(spans.select(*keys, "start", "end", "match", "provider", "rule_id"))
+                 options: ScanOptions, path_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Splice placeholders over the given spans (with ``ROW``, see ``row_identity``); returns the frame and the new vault rows."""
+    spans = cut_lineage(spans.select(*keys, ROW, "start", "end", "match", "provider", "rule_id"))
     added = cut_lineage(allocate(first_sightings(spans, keys), vault, key, options.prefix))
-    named = named_secrets(spans, vault, added, [*keys, "start"])
-    per_row = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+    # Rows of one identity have the same spans: one of them stands for all.
+    own = spans.groupBy(ROW, "start").agg(F.first(F.struct("end", "match", "provider", "rule_id")).alias("s")).select(ROW, "start", "s.*")
+    named = named_secrets(own, vault, added, [ROW, "start"])
+    per_row = named.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct(
         "start", "end", F.col("placeholder").alias("value"), "rule_id", "provider"))).alias("replacements"))
-    out = attach(df, per_row, keys)
+    out = attach_to_hits(df, per_row, row_identity(F.col(text_col), None if path_col is None else F.col(path_col)),
+                         worth_a_look(F.col(text_col)) if sound_prefilter(options) else F.col(text_col).isNotNull())
     reps = F.coalesce(F.col("replacements"), empty(REPLACEMENT))
     return (out.withColumn("replacements", reps)
             .withColumn("redacted", splice(F.col(text_col), F.col("replacements"))), added)
@@ -56,13 +90,13 @@ def redact_spans(df: DataFrame, text_col: str, spans: DataFrame, keys: list[str]
 
 def redact_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame, key: DataFrame,
               options: ScanOptions = ScanOptions(), path_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Add ``redacted`` and ``replacements``; ``keys`` identify a row and fix the naming order.
+    """Add ``redacted`` and ``replacements``; ``keys`` fix the naming order and may be null or repeated.
 
     The texts are scanned once.  Only the found spans are kept, matched with placeholders and
-    brought back to their rows; texts without credentials are not shuffled.
+    brought back to their rows by what the rows hold; texts in which nothing can be found are not shuffled.
     """
-    scanned = scan_df(df, text_col, options, path_col)
-    return redact_spans(df, text_col, blocking_spans(scanned, keys, options), keys, vault, key, options)
+    scanned = with_row(scan_df(df, text_col, options, path_col), text_col, path_col)
+    return redact_spans(df, text_col, blocking_spans(scanned, [*keys, ROW], options), keys, vault, key, options, path_col)
 
 
 # --- restoring ---------------------------------------------------------------------------
@@ -118,22 +152,24 @@ def rehydrate_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame
                  options: ScanOptions = ScanOptions()) -> DataFrame:
     """Add ``restored``, ``substituted`` and ``warnings``.
 
-    Only exact placeholders are replaced; anything else that looks like one is reported.
+    Only exact placeholders are replaced; anything else that looks like one is reported.  ``keys``
+    need not be unique or present: replacements go by what a row holds.
     """
-    tokens = cut_lineage(placeholder_tokens(df, text_col, keys, options))
-    kinds = classified_tokens(tokens, vault, keys, options)
-    per_row = kinds.groupBy(*keys).agg(
+    marked = df.withColumn(ROW, row_identity(F.col(text_col)))
+    tokens = cut_lineage(placeholder_tokens(marked, text_col, [ROW], options).distinct())
+    kinds = classified_tokens(tokens, vault, [ROW], options)
+    per_row = kinds.groupBy(ROW).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "token", "secret", "kind"))).alias("_tokens"))
     exact = F.transform(F.filter("_tokens", lambda t: t["kind"] == "exact"), lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["secret"].alias("value"), F.lit("").alias("rule_id"), F.lit("").alias("provider")))
     doubtful = F.transform(F.filter("_tokens", lambda t: t["kind"] != "exact"), lambda t: F.struct(
         t["kind"].alias("kind"), t["token"].alias("token"), warning_message(t["kind"], t["token"]).alias("message")))
-    out = attach(df, per_row, keys).withColumn("_exact", F.coalesce(exact, empty(REPLACEMENT)))
+    out = attach_to_hits(df, per_row, row_identity(F.col(text_col)), has_placeholders(F.col(text_col), options.prefix)).withColumn("_exact", F.coalesce(exact, empty(REPLACEMENT)))
     return (out.withColumn("restored", splice(F.col(text_col), F.col("_exact")))
             .withColumn("substituted", F.size("_exact"))
             .withColumn("warnings", F.coalesce(doubtful, empty(WARNING)))
             .drop("_tokens", "_exact"))
 
 
-__all__ = ["blocking_spans", "classified_tokens", "first_sightings", "placeholder_tokens", "redact_df",
-           "redact_spans", "rehydrate_df", "resembles", "splice"]
+__all__ = ["ROW", "attach_to_hits", "blocking_spans", "classified_tokens", "first_sightings", "placeholder_tokens", "redact_df",
+           "redact_spans", "rehydrate_df", "resembles", "row_identity", "splice", "with_row"]

@@ -18,13 +18,8 @@ PRAGMA_SQL = "CASE doc_id % 3 WHEN 0 THEN '  # veilspan: allow' ELSE '' END"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that arrives in fewer pieces than there are cores is spread over them.
-
-    Scanning is bound by the CPU.  A table of cluster size has more pieces and is left alone.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+    """A given table, in the pieces that its files and the session's split sizes give; no row is moved."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

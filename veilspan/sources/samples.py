@@ -7,11 +7,15 @@ value is assembled from a prefix and digest characters when the query runs.
 
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..rules.catalogue import BUILTIN
+
 SEED = "veil"
 
 
@@ -25,65 +29,87 @@ class Shape:
     after: str = ""
 
 
-JWT_HEADER = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"
-JWT_CLAIMS = "eyJzdWIiOiJzdmMtYmlsbGluZyIsImlhdCI6MTc2NzIyNTYwMH0"
+def _part_of_jwt(**claims) -> str:
+    return base64.urlsafe_b64encode(json.dumps(claims, separators=(",", ":")).encode()).decode().rstrip("=")
+
+
+def _token(rule_id: str, *parts) -> Shape:
+    """A value that stands by itself: it is put into one of the contexts, under the rule's name."""
+    return Shape(PROVIDERS[rule_id], rule_id, rule_id.replace("-", "_"), parts)
+
+
+def _placed(rule_id: str, before: str, parts: tuple, after: str = "") -> Shape:
+    """A value that its rule knows by what stands around it."""
+    return Shape(PROVIDERS[rule_id], rule_id, "", parts, before, after)
+
+
+PROVIDERS = {r.id: r.provider for r in BUILTIN}
+LETTERS, HEX, DIGITS, CAPITALS, BASE64 = "alnum", "hex", "digits", "upper", "base64"
 
+# Derived from the rules: for each a value that its pattern takes, in the order of the rules' names.
 SHAPES = (
-    Shape("aws", "aws-access-key-id", "aws_access_key_id", ("AKIA", ("upper", 16))),
-    Shape("aws", "aws-access-key-id", "aws_session_key_id", ("ASIA", ("upper", 16))),
-    Shape("aws", "aws-secret-access-key", "", (("base64", 40),), 'aws_secret_access_key = "', '"'),
-    Shape("aws", "aws-session-token", "", (("base64", 120),), 'aws_session_token: "', '"'),
-    Shape("github", "github-pat-classic", "github_token", ("ghp_", ("alnum", 36))),
-    Shape("github", "github-pat-classic", "github_oauth", ("gho_", ("alnum", 36))),
-    Shape("github", "github-pat-classic", "github_server", ("ghs_", ("alnum", 36))),
-    Shape("github", "github-pat-fine-grained", "github_pat", ("github_pat_", ("alnum", 22), "_", ("alnum", 59))),
-    Shape("gitlab", "gitlab-pat", "gitlab_token", ("glpat-", ("alnum", 20))),
-    Shape("anthropic", "anthropic-api-key", "anthropic_api_key", ("sk-ant-api03-", ("alnum", 95))),
-    Shape("openai", "openai-api-key", "openai_api_key", ("sk-", ("alnum", 48))),
-    Shape("openai", "openai-api-key", "openai_project_key", ("sk-proj-", ("alnum", 64))),
-    Shape("openrouter", "openrouter-api-key", "openrouter_key", ("sk-or-v1-", ("hex", 64))),
-    Shape("google", "gcp-api-key", "google_api_key", ("AIza", ("alnum", 35))),
-    Shape("google", "gcp-oauth-client-secret", "google_oauth_secret", ("GOCSPX-", ("alnum", 28))),
-    Shape("stripe", "stripe-secret-key", "stripe_secret_key", ("sk_live_", ("alnum", 24))),
-    Shape("stripe", "stripe-secret-key", "stripe_restricted_key", ("rk_live_", ("alnum", 24))),
-    Shape("slack", "slack-bot-token", "slack_bot_token",
-          ("xoxb-", ("digits", 12), "-", ("digits", 12), "-", ("alnum", 24))),
-    Shape("slack", "slack-webhook-url", "slack_webhook",
-          ("https://hooks.slack.com/services/T", ("upper", 10), "/B", ("upper", 10), "/", ("alnum", 24))),
-    Shape("sendgrid", "sendgrid-api-key", "sendgrid_api_key", ("SG.", ("alnum", 22), ".", ("alnum", 43))),
-    Shape("npm", "npm-access-token", "npm_token", ("npm_", ("alnum", 36))),
-    Shape("huggingface", "huggingface-token", "hf_token", ("hf_", ("alnum", 34))),
-    Shape("groq", "groq-api-key", "groq_api_key", ("gsk_", ("alnum", 52))),
-    Shape("replicate", "replicate-api-token", "replicate_token", ("r8_", ("alnum", 37))),
-    Shape("shopify", "shopify-access-token", "shopify_token", ("shpat_", ("hex", 32))),
-    Shape("square", "square-access-token", "square_token", ("sq0atp-", ("alnum", 22))),
-    Shape("digitalocean", "digitalocean-token", "do_token", ("dop_v1_", ("hex", 64))),
-    Shape("supabase", "supabase-service-role-key", "supabase_key", ("sbp_", ("hex", 40))),
-    Shape("newrelic", "new-relic-license-key", "newrelic_key", ("NRAK-", ("upper", 27))),
-    Shape("telegram", "telegram-bot-token", "telegram_bot_token", (("digits", 10), ":AA", ("alnum", 33))),
-    Shape("mailgun", "mailgun-api-key", "mailgun_api_key", ("key-", ("hex", 32))),
-    Shape("database", "db-connection-string", "", (("alnum", 20),), "postgres://svc_app:", "@db-prod.internal:5432/app"),
-    Shape("database", "db-connection-string", "", (("alnum", 24),), "mongodb+srv://appuser:",
-          "@cluster0.ab1cd.mongodb.net/prod"),
-    Shape("azure", "azure-storage-key", "", (("base64", 86), "=="),
-          "DefaultEndpointsProtocol=https;AccountName=prodblob;AccountKey=", ";EndpointSuffix=core.windows.net"),
-    Shape("datadog", "datadog-api-key", "", (("hex", 32),), 'dd_api_key: "', '"'),
-    Shape("jwt", "jwt", "", (JWT_HEADER, ".", JWT_CLAIMS, ".", ("alnum", 43)), "Authorization: Bearer ", ""),
-    Shape("pem", "private-key-block", "",
-          ("-----BEGIN RSA PRIVATE", " KEY-----\n", ("base64", 64), "\n", ("base64", 64), "\n-----END RSA PRIVATE", " KEY-----"),
-          "Here is the deploy key that stopped working:\n", "\n"),
+    _token("anthropic-api-key", "sk-ant-api07-", (LETTERS, 93)),
+    _token("aws-access-key-id", "AKIA", (CAPITALS, 16)),
+    _token("aws-access-key-id", "ABIA", (CAPITALS, 16)),
+    _placed("aws-secret-access-key", "export AWS_SECRET_ACCESS_KEY=\"", ((BASE64, 40),), '"'),
+    _placed("aws-session-token", "AWS_SESSION_TOKEN=", ((BASE64, 110),)),
+    _token("azure-ad-client-secret", (LETTERS, 3), "8Q~", (LETTERS, 33)),
+    _placed("azure-storage-key", "AccountName=archive;AccountKey=", ((BASE64, 86), "=="), ";"),
+    _placed("basic-auth-url", "fetched from https://mirror:", ((LETTERS, 18),), "@files.example.org/list"),
+    _placed("bitbucket-client-secret", 'bitbucket.client.secret = "', ((LETTERS, 64),), '"'),
+    _placed("cloudflare-api-token", "cloudflare_token = \"", ((LETTERS, 40),), '"'),
+    _placed("cohere-api-key", "COHERE_KEY = \"", ((LETTERS, 40),), '"'),
+    _placed("curl-user-flag", "curl --user mirror:", ((LETTERS, 21),), " ftp://files.example.org"),
+    _placed("datadog-api-key", "DATADOG_API_KEY = \"", ((HEX, 32),), '"'),
+    _placed("db-connection-string", "mysql://report:", ((LETTERS, 22),), "@replica.example.org/sales"),
+    _placed("db-connection-string", "amqps://queue:", ((LETTERS, 17),), "@broker.example.org/jobs"),
+    _token("digitalocean-token", "dop_v1_", (HEX, 64)),
+    _token("discord-bot-token", "N", (LETTERS, 23), ".", (LETTERS, 6), ".", (LETTERS, 27)),
+    _token("gcp-api-key", "AIza", (LETTERS, 35)),
+    _token("gcp-oauth-client-secret", "GOCSPX-", (LETTERS, 28)),
+    _token("github-pat-classic", "ghu_", (LETTERS, 36)),
+    _token("github-pat-classic", "ghr_", (LETTERS, 36)),
+    _token("github-pat-fine-grained", "github_pat_", (LETTERS, 82)),
+    _token("gitlab-pat", "glpat-", (LETTERS, 26)),
+    _token("gitlab-runner-token", "GR1348941", (LETTERS, 20)),
+    _token("groq-api-key", "gsk_", (LETTERS, 52)),
+    _placed("heroku-api-key", "heroku_key=", ((HEX, 8), "-5d21-4e7b-8c60-", (HEX, 12))),
+    _token("huggingface-token", "hf_", (LETTERS, 36)),
+    _placed("jdbc-password", "jdbc:mariadb://replica.example.org/sales;password=", ((LETTERS, 19),), ";ssl=true"),
+    _placed("jwt", "cookie: session=", (_part_of_jwt(typ="JWT", alg="HS512"), ".", _part_of_jwt(iss="login.example.org", uid=71), ".", (LETTERS, 86))),
+    _token("mailgun-api-key", "key-", (HEX, 32)),
+    _token("new-relic-license-key", "NRAK-", (CAPITALS, 27)),
+    _token("npm-access-token", "npm_", (LETTERS, 36)),
+    _placed("npmrc-auth-token", "//packages.example.org/:_authToken=", ((LETTERS, 30),)),
+    _token("openai-api-key", "sk-svcacct-", (LETTERS, 58)),
+    _token("openrouter-api-key", "sk-or-v1-", (HEX, 64)),
+    _placed("private-key-block", "found on the retired build host\n",
+            ("-----BEGIN EC PRIVATE", " KEY-----\n", (BASE64, 64), "\n", (BASE64, 44), "\n-----END EC PRIVATE", " KEY-----"), "\n"),
+    _token("pypi-upload-token", "pypi-AgEIcHlwaS5vcmc", (LETTERS, 70)),
+    _token("replicate-api-token", "r8_", (LETTERS, 38)),
+    _token("sendgrid-api-key", "SG.", (LETTERS, 22), ".", (LETTERS, 43)),
+    _token("shopify-access-token", "shppa_", (HEX, 32)),
+    _token("slack-app-token", "xapp-2-", (CAPITALS, 11), "-", (DIGITS, 12), "-", (HEX, 64)),
+    _token("slack-bot-token", "xoxp-", (DIGITS, 11), "-", (LETTERS, 30)),
+    _token("slack-webhook-url", "https://hooks.slack.com/services/T", (CAPITALS, 9), "/B", (CAPITALS, 9), "/", (LETTERS, 24)),
+    _token("square-access-token", "sq0csp-", (LETTERS, 40)),
+    _token("stripe-secret-key", "rk_live_", (LETTERS, 30)),
+    _token("supabase-service-role-key", "sbp_", (HEX, 40)),
+    _token("telegram-bot-token", (DIGITS, 9), ":AA", (LETTERS, 33)),
+    _token("twilio-api-key", "SK", (HEX, 32)),
+    _placed("vercel-token", "VERCEL_TOKEN = \"", ((LETTERS, 24),), '"'),
 )
 
 # (before, after, name in capitals); ``{}`` stands for the name.
 CONTEXTS = (
-    ("{}=", "", True),
-    ('{}: "', '"', False),
-    ('const {} = "', '";', False),
-    ('export {}="', '"', True),
-    ("Here is the key I use: ", " and auth still fails", False),
-    ("  {}: ", "\n  region: us-east-1", False),
-    ("{}: ", "  # rotate quarterly", True),
-    ('curl -H "Authorization: Bearer ', '" https://api.internal/v1/status', False),
+    ("set {} to ", " before the first run", False),
+    ("-D{}=", " -jar service.jar", False),
+    ('{} := "', '"', False),
+    ("| {} | ", " | yes |", True),
+    ("it fails with ", ", please look", False),
+    ('[{}]\nvalue = "', '"', False),
+    ("({}) ", " for the tests", False),
+    ("unset {}; ", " was the old one", True),
 )
 
 # Digest, base64 and array lookup in the two SQL dialects.
