@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, chat, decontaminate, html_extract, licenses, line_dedup, packing, quality, simhash, toxicity
 from .common import held_out, table
+from .sql import TWINS
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("licences", ",").alias("licences"))
 
 
-QUERIES = {q.__name__: (q, None) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses)}
+QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses)}
