@@ -9,7 +9,7 @@ from conftest import fake
 from veilspan.operators import baseline as B, fixplan as X, heartbeat as H, policy as P, reports as R, score as S
 from veilspan.operators.scan import findings_table, scan_df
 from veilspan.options import ScanOptions
-from veilspan.sources.files import staged, text_files
+from veilspan.sources.files import MAX_BYTES, staged, text_files
 from veilspan.streaming import guard as G
 
 AWS = "AKIA" + "4KTNQ7VZL2WXMP3D"
@@ -170,7 +170,8 @@ def test_file_source(spark, tmp_path):
     for name, data in {"a.py": AWS.encode(), "x/node_modules/b.py": b"no", "bin": b"a\0b", "bad.txt": b"ok \xff", ".git/c": b"no", "big": b"x" * (2 * 1024 * 1024 + 1)}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
-    files = text_files(spark, str(root))
+    assert text_files(spark, str(root)).filter(F.endswith("path", F.lit("big"))).count() == 1  # no limit by default
+    files = text_files(spark, str(root), MAX_BYTES)
     got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.collect()}
     assert got == {"a.py": AWS, "bad.txt": "ok �"}
     manifest = files.select("path", F.when(F.col("path").endswith("a.py"), "M").otherwise("D").alias("status"))
