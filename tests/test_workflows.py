@@ -1,5 +1,11 @@
 """Decisions, heartbeats, baseline, scoring, remediation, sources, streams, registry."""
 
+import json
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -142,7 +148,7 @@ def test_fix_plan(spark):
 
 def test_names_equal_one_by_one_naming(spark):
     bases = ["KEY", "KEY", "KEY_2", "KEY", "A", "KEY_2", "KEY_2_2", "KEY", "A", "KEY_3"] * 4
-    taken = ["KEY", "KEY_4", "A_2"]
+    taken = ["KEY", "KEY_4", "A_2", "A_99999999999999999999"]
     want, seen = {}, set(taken)
     for i, base in enumerate(bases):
         name, n = base, 2
@@ -212,6 +218,39 @@ def test_entry(spark):
 
 
 def test_event_routing(spark):
-    df = spark.createDataFrame([("UserPrompt",), ("PreTool",), ("PostTool",), ("x",), ("",)], "e string")
-    kinds = df.select(P.event_kind(F.col("e"), ["UserPrompt"], ["PreTool"], ["PostTool"]).alias("k")).collect()
-    assert [r["k"] for r in kinds] == ["prompt", "tool", "result", "other", "other"]
+    names = ["UserPromptSubmit", "PreToolUse", "PostToolUse", "afterFileEdit", "pre_run_command", "beforeReadFile", "SessionStart", ""]
+    kinds = spark.createDataFrame([(n,) for n in names], "e string").select(P.event_kind(F.col("e")).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["prompt", "tool", "result", "result", "shell", "read", "other", "other"]
+
+
+def test_events_are_decided_by_their_kind(spark):
+    from veilspan.sources.messages import parse_events
+    from veilspan.streaming.guard import tool_decisions
+    events = [({"event": "SessionStart", "prompt": f"x {AWS}"}, "allow"), ({"event": "UserPromptSubmit", "prompt": f"x {AWS}"}, "deny"),
+              ({"event": "UserPromptSubmit", "prompt": "cat", "tool_input": {"file_path": ".env"}}, "allow"),
+              ({"event": "beforeShellExecution", "command": ["curl", AWS]}, "deny"), ({"event": "pre_run_command", "command": "printenv"}, "deny"),
+              ({"event": "pre_run_command", "command": "ls"}, "allow"), ({"event": "beforeReadFile", "file_path": "a/.env"}, "deny"),
+              ({"event": "beforeReadFile", "path": "a/b.ts"}, "allow"), ({"event": "PostToolUse", "tool_response": {"a": AWS}}, "allow"),
+              ({"event": "BeforeTool", "toolInput": {"content": AWS}}, "deny"), ({"event": "PreToolUse"}, "allow")]
+    lines = spark.createDataFrame([(i, json.dumps(e)) for i, (e, _) in enumerate(events)] + [(99, "{broken")], "i int, value string")
+    got = tool_decisions(parse_events(lines), ScanOptions(mode="block")).orderBy("i").collect()
+    assert [r["decision"]["kind"] for r in got] == [k for _, k in events] + ["allow"]
+
+
+def test_nothing_is_left_in_the_shared_folder(tmp_path):
+    script = f"""
+from pyspark.sql import SparkSession
+from veilspan.operators.redact import redact_df
+from veilspan.operators.vault import empty_vault, key_frame
+spark = SparkSession.builder.master('local[2]').config('spark.checkpoint.dir', {str(tmp_path)!r}).config('spark.ui.enabled', 'false').getOrCreate()
+df = spark.createDataFrame([(1, 'key {AWS}')], 'id int, text string')
+out, added = redact_df(df, 'text', ['id'], empty_vault(spark), key_frame(spark, b'k'))
+assert {AWS!r} not in out.first()['redacted']
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=300, cwd=str(Path(__file__).parent.parent))
+    left = True  # the JVM ends a little after the script
+    for _ in range(60):
+        if not (left := [p for p in tmp_path.rglob("*") if p.is_file()]):
+            break
+        time.sleep(0.5)
+    assert not left

@@ -98,11 +98,25 @@ def _family(name: str) -> Column:
 
 
 def _numbers_in_use(taken: DataFrame) -> DataFrame:
-    """Per base the sorted numbers that are taken; 1 stands for the bare base."""
-    bare = taken.select(F.col("name").alias("base"), F.lit(1).alias("k"))
+    """The numbers (base, used) that are taken; 1 stands for the bare base."""
+    bare = taken.select(F.col("name").alias("base"), F.lit(1).cast("long").alias("used"))
+    # A number beyond a long is never reached.
     tails = taken.filter(F.rlike("name", F.lit(SUFFIX))).select(
-        F.regexp_extract("name", SUFFIX, 1).alias("base"), F.regexp_extract("name", SUFFIX, 2).cast("int").alias("k"))
-    return bare.unionByName(tails).groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
+        F.regexp_extract("name", SUFFIX, 1).alias("base"), F.regexp_extract("name", SUFFIX, 2).try_cast("long").alias("used"))
+    return bare.unionByName(tails.filter("used IS NOT NULL")).distinct()
+
+
+def _numbered(turns: DataFrame, used: DataFrame) -> DataFrame:
+    """``k``, the turn-th number of each base that is not in ``used``.
+
+    The j-th used number u has u - j free ones before it.  With the used numbers put between the
+    turns at that place, a turn's rank in its base is its number; no base is gathered.
+    """
+    gaps = rank_within(used, "base", ["used"], "_nth").select(
+        "base", (F.col("used") - F.col("_nth")).alias("_after"), F.lit(1).alias("_used"))
+    asked = turns.withColumn("_after", F.col("turn").cast("long")).withColumn("_used", F.lit(0))
+    merged = asked.unionByName(gaps, allowMissingColumns=True)
+    return rank_within(merged, "base", ["_after", "_used"], "k").filter("_used = 0").drop("_after", "_used")
 
 
 def allocate_names(values: DataFrame, env: DataFrame) -> DataFrame:
@@ -116,10 +130,9 @@ def allocate_names(values: DataFrame, env: DataFrame) -> DataFrame:
     pending = cut_lineage(values)
     named = None
     while True:
-        number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("turn"),
-                             lambda n, k: F.when(k <= n, n + 1).otherwise(n))
         turns = rank_within(pending, "base", ["first_seen", "value"], "turn")
-        offered = (lookup(turns, _numbers_in_use(taken), "base", ["value"]).withColumn("k", number)
+        used = _numbers_in_use(taken).join(pending.select("base").distinct(), "base", "left_semi")
+        offered = (_numbered(turns, used)
                    .withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(
                        F.concat("base", F.lit("_"), F.col("k").cast("string"))))
                    .withColumn("family", _family("base"))

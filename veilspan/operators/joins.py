@@ -48,14 +48,24 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         folder = tempfile.mkdtemp(prefix="veilspan-")
+        gone_at_end(spark, folder)
     return folder.rstrip("/")
 
 
+def gone_at_end(spark: SparkSession, folder: str) -> None:
+    """``folder``, made if need be, is deleted when the driver's JVM ends: intermediate results may hold secrets."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor does not repeat the scan that made ``df``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    gone_at_end(df.sparkSession, context.getCheckpointDir())  # Spark's folder for this application alone
     return df.checkpoint(eager=True)
 
 

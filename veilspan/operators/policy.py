@@ -22,6 +22,15 @@ PATH_FIELDS = ("file_path", "path", "filePath", "absolute_path")
 COMMAND_FIELDS = ("command", "cmd", "script")
 REWRITE_FIELDS = ("command", "content", "new_string", "prompt", "text", "file_text", "body")
 
+# The events of the hosts by what they carry; all others are let through.
+EVENTS = (
+    ("prompt", ("UserPromptSubmit", "beforeSubmitPrompt")),
+    ("tool", ("PreToolUse", "BeforeTool", "preToolUse")),
+    ("shell", ("beforeShellExecution", "pre_run_command")),
+    ("read", ("beforeReadFile", "pre_read_code")),
+    ("result", ("PostToolUse", "AfterTool", "afterFileEdit")),
+)
+
 # host, capability, supported, asks, takes_rewritten_input
 HOSTS = (
     ("claude-code", "redact", True, True, False),
@@ -203,7 +212,13 @@ def host_response(decided: Column, event_kind: Column, asks: Column, rewrites: C
     return F.struct(kind.alias("kind"), decided["reason"].alias("reason"), decided["text"].alias("text"))
 
 
-def event_kind(event: Column, prompt_events, tool_events, result_events) -> Column:
+def event_kind(event: Column, events=EVENTS) -> Column:
     """Route an event name; unknown events are let through."""
-    return (F.when(event.isin(*prompt_events), "prompt").when(event.isin(*tool_events), "tool")
-            .when(event.isin(*result_events), "result").otherwise("other"))
+    return F.coalesce(*[F.when(event.isin(*names), kind) for kind, names in events], F.lit("other"))
+
+
+def event_call(kind: Column, tool_input: Column, command: Column, path: Column) -> Column:
+    """What a tool, shell or read event is about to do, as fields of a tool call; NULL for other events."""
+    return (F.when(kind == "tool", tool_input)
+            .when(kind == "shell", F.create_map(F.lit("command"), F.coalesce(command, F.lit(""))))
+            .when(kind == "read", F.create_map(F.lit("file_path"), F.coalesce(path, F.lit("")))))

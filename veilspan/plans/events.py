@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import SENSITIVE_COMMAND as COMMAND_PATTERN, is_sensitive_command, is_sensitive_path
 from ..functions.text import human_age
 from ..operators import fixplan as X, heartbeat as H, policy as P
-from ..operators.joins import shared_folder
+from ..operators.joins import gone_at_end, shared_folder
 from ..operators.vault import empty_vault, key_frame
 from ..options import ScanOptions
 from ..sources.messages import parse_events
@@ -251,7 +251,9 @@ LOOKUP = ("CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'process.
 # --- streams -----------------------------------------------------------------------------
 
 def _new_folder(spark) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    gone_at_end(spark, folder)
+    return folder
 
 
 def _stream(spark, sf_dir, name):
@@ -280,12 +282,22 @@ def stream_heartbeat(spark, sf_dir):
 HEARTBEAT = "SELECT CAST(user_id AS VARCHAR) AS agent, event_type AS event, max(ts) AS last_seen, count(*) AS cnt FROM events GROUP BY 1, 2"
 
 
+# What the turns arrive as, by turn; the last is cut short.
+ARRIVALS = ("UserPromptSubmit", "PreToolUse", "PostToolUse", "beforeShellExecution", "beforeReadFile", "SessionStart", "broken")
+
+
 def stream_decisions(spark, sf_dir):
-    """Tool events arriving as JSON lines, some broken: decided as they come."""
+    """Events of every kind arriving as JSON lines, some broken: decided as they come."""
     base = _new_folder(spark)
-    turns = with_prompt_samples(_stream(spark, sf_dir, "conversations"))
-    payload = F.to_json(F.struct(F.lit("prompt").alias("hookEventName"), F.col("text").alias("prompt")))
-    lines = turns.select("row_id", F.when(F.col("turn") % 4 == 3, F.substring(payload, 2, 40)).otherwise(payload).alias("value"))
+    turns = with_prompt_samples(_stream(spark, sf_dir, "conversations")).withColumn("name", F.expr(picked(ARRIVALS, "row_id", "spark")))
+    text = F.coalesce("text", F.lit(""))
+    payload = F.to_json(F.struct(
+        F.col("name").alias("hookEventName"), F.when(F.col("name").isin("UserPromptSubmit", "SessionStart", "broken"), text).alias("prompt"),
+        F.when(F.col("name") == "PreToolUse", F.struct(text.alias("content"))).alias("tool_input"),
+        F.when(F.col("name") == "PostToolUse", F.struct(text.alias("output"))).alias("tool_response"),
+        F.when(F.col("name") == "beforeShellExecution", text).alias("command"),
+        F.when(F.col("name") == "beforeReadFile", F.expr(picked(PATHS, "turn", "spark"))).alias("file_path")))
+    lines = turns.select("row_id", F.when(F.col("name") == "broken", F.substring(payload, 2, 40)).otherwise(payload).alias("value"))
     decided = G.tool_decisions(parse_events(lines), BLOCK).select("row_id", "parsed", "event", F.col("decision.kind").alias("kind"))
     query = (decided.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).start())
@@ -293,8 +305,10 @@ def stream_decisions(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
-STREAM_DECISIONS = f"""WITH {PROMPT_SERIOUS} SELECT row_id, turn % 4 <> 3 AS parsed, CASE WHEN turn % 4 = 3 THEN '' ELSE 'prompt' END AS event,
-  CASE WHEN turn % 4 <> 3 AND row_id IN (SELECT row_id FROM serious) THEN 'deny' ELSE 'allow' END AS kind FROM docs"""
+STREAM_DECISIONS = f"""WITH {PROMPT_SERIOUS}, named AS (SELECT row_id, text AS command, {picked(ARRIVALS, 'row_id', 'duckdb')} AS name, {picked(PATHS, 'turn', 'duckdb')} AS path FROM docs)
+SELECT row_id, name <> 'broken' AS parsed, CASE WHEN name <> 'broken' THEN name ELSE '' END AS event,
+  CASE WHEN name IN ('UserPromptSubmit', 'PreToolUse', 'beforeShellExecution') AND row_id IN (SELECT row_id FROM serious) THEN 'deny'
+  WHEN name = 'beforeShellExecution' AND {SENSITIVE_COMMAND} THEN 'deny' WHEN name = 'beforeReadFile' AND {SENSITIVE_PATH} THEN 'deny' ELSE 'allow' END AS kind FROM named"""
 
 QUERIES = {
     "sensitive_paths": (sensitive_paths, f"SELECT event_id, path, {SENSITIVE_PATH} AS sensitive FROM (SELECT event_id, {picked(PATHS, 'event_id', 'duckdb')} AS path FROM events)"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import strict_json
 from ..operators.nested import redact_json
+from ..operators.policy import PATH_FIELDS, command_text
 from ..options import ScanOptions
 
 EVENT_NAMES = ("hook_event_name", "hookEventName", "event")
@@ -51,4 +52,7 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
         *[c for c in lines.columns if c != "_json"], v.isNotNull().alias("parsed"), F.coalesce(text(*EVENT_NAMES), F.lit("")).alias("event"),
         text("prompt").alias("prompt"), F.coalesce(text(*TOOL_NAMES), F.lit("")).alias("tool_name"),
         F.from_json(raw(*INPUT_NAMES), "map<string,string>").alias("tool_input"),
-        raw(*RESPONSE_NAMES).alias("tool_response"), text("cwd").alias("cwd"))
+        raw(*RESPONSE_NAMES).alias("tool_response"), text("cwd").alias("cwd"),
+        # A command comes as text or as the list of its words.
+        command_text(text("command"), F.from_json(raw("command"), "array<string>")).alias("command"),
+        text(*PATH_FIELDS).alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.heartbeat import heartbeat
-from ..operators.policy import DECISION, decision, guard_message, sensitive_call, tool_text
+from ..operators.policy import DECISION, decision, event_call, event_kind, guard_message, sensitive_call, tool_text
 from ..operators.redact import redact_df
 from ..operators.scan import blocking, scan_df
 from ..operators.vault import extend_vault, key_frame, load_vault, refreshed, save_vault
@@ -42,20 +42,23 @@ def redact_stream(stream: DataFrame, text_col: str, keys: list[str], vault_path:
 
 
 def tool_decisions(events: DataFrame, options: ScanOptions) -> DataFrame:
-    """Stateless decisions for parsed tool events in block or warn mode, batch or stream.
+    """Stateless decisions for parsed events in block or warn mode, batch or stream.
 
-    Malformed events are allowed and keep their payload, so they can be put aside.
+    Prompts are judged by their text; tool, shell and read events by path, command and text.  Results (see
+    ``decide_results``), unknown and malformed events are allowed; the latter keep their payload, so they can be put aside.
     """
     if options.mode == "redact":
         raise ValueError("masking needs the vault: use redact_stream")
-    text = F.coalesce(F.nullif(F.col("prompt"), F.lit("")), tool_text(F.col("tool_input")))
-    scanned = scan_df(events.withColumn("_text", text), "_text", options)
+    routed = events.withColumn("kind", event_kind(F.col("event")))
+    routed = routed.withColumn("_call", event_call(F.col("kind"), F.col("tool_input"), F.col("command"), F.col("path")))
+    text = F.when(F.col("kind") == "prompt", F.coalesce("prompt", F.lit(""))).otherwise(tool_text(F.col("_call")))
+    scanned = scan_df(routed.withColumn("_text", text), "_text", options)
     serious = blocking(F.col("findings"), options)
-    kind = "deny" if options.mode == "block" else "ask"
-    by_text = F.when(F.size(serious) > 0, decision(kind, guard_message(serious, options)))
+    answer = "deny" if options.mode == "block" else "ask"
+    by_text = F.when(F.size(serious) > 0, decision(answer, guard_message(serious, options)))
     return (scanned.withColumn("decision", F.coalesce(
-                sensitive_call(F.col("tool_input")), by_text.cast(DECISION), decision("allow").cast(DECISION)))
-            .drop("_text", "findings", "suppressed"))
+                sensitive_call(F.col("_call")), by_text.cast(DECISION), decision("allow").cast(DECISION)))
+            .drop("_text", "_call", "findings", "suppressed"))
 
 
 def dead_letters(events: DataFrame) -> DataFrame:
