@@ -41,6 +41,24 @@ def test_article_without_an_article_element():
     assert html_extract.extract(html) == "\n\n".join(f"{PROSE} {i}" for i in range(5))
 
 
+FIVE = "".join(f"<p>{PROSE} {i}</p>" for i in range(5))
+FIVE_TEXTS = [f"{PROSE} {i}" for i in range(5)]
+MENU = "<nav><ul>" + "".join(f'<li><a href="/{i}">Item {i}</a>' for i in range(30)) + "</ul></nav>"
+
+
+@pytest.mark.parametrize("wrapper", ['div class="content with-sidebar"', 'div class="no-comments"', "form action='/'", 'div id="page-header"', "form", "aside", 'section class="widget"'])
+@pytest.mark.parametrize("inner", [FIVE, f"<article>{FIVE}</article>", f'<div class="side">{FIVE}</div>'])
+def test_a_name_does_not_leave_out_the_page(wrapper, inner):
+    tag = wrapper.split()[0]
+    html = f"<html><body>{MENU}<{wrapper}>{inner}<aside>Side</aside></{tag}><div class='related'><p>Related text.</p></div><form><label>Mail</label></form></body></html>"
+    assert html_extract.extract(html) == "\n\n".join(FIVE_TEXTS)
+
+
+def test_names_that_leave_out_most_of_a_page_are_not_believed():
+    parts = "".join(f'<div class="widget">{PROSE} {i}</div>' for i in range(5))
+    assert html_extract.extract(f"<body>{MENU}{parts}</body>") == "\n\n".join(FIVE_TEXTS)
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!-- open", "<script>x", "</p></div>", "<html></html>", "<a href='x", "&bogus;", "\x00"])
 def test_odd_pages_do_not_fail(html):
     assert isinstance(html_extract.extract(html), str)

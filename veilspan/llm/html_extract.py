@@ -9,8 +9,10 @@ tag, adjusted by links:
 A density sum is the sum of the children's densities.  The subtree with the largest sum is the
 core; the least density on the path from it to the body is the page's threshold.  Of the
 core's ancestors' other children only what reaches the threshold and has text of its own kind counts as
-content.  Parts that are never article text (scripts, menus, forms, page headers and footers,
-asides, and elements that name themselves adverts, notices or comments) are left out of the tree.
+content.  Scripts and hidden elements are left out of the tree.  So are menus, forms, page headers and
+footers, asides, and elements that name themselves adverts, notices or comments, but only those that do
+not hold the page: a name is not believed where the element holds the core, half of the page's text or
+most of its article, nor are the names of a page without an article where they would leave out three quarters.
 """
 
 from __future__ import annotations
@@ -45,30 +47,33 @@ BLANKS = re.compile(r"[\s\x00]+")
 
 
 class Node:
-    """An element; items are its texts and child elements in order."""
+    """An element; items are its texts and child elements in order.  article_chars: those inside article and main elements."""
 
-    __slots__ = ("tag", "parent", "items", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "out", "named", "chars", "tags", "link_chars", "link_tags", "article_chars", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", out: bool):
-        self.tag, self.parent, self.items, self.out = tag, parent, [], out
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, parent: "Node | None", out: bool, named: bool = False):
+        self.tag, self.parent, self.items, self.out, self.named = tag, parent, [], out, named
+        self.clear()
+
+    def clear(self) -> None:
+        self.chars = self.tags = self.link_chars = self.link_tags = self.article_chars = 0
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in BOILERPLATE:
-        return True
+def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its tag, role or names tell of boilerplate."""
+    named = tag in BOILERPLATE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, named
     for found in ATTRIBUTE.finditer(attributes):
         name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
         if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES:
-            return True
+            named = True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, named
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -119,7 +124,8 @@ def parse(page: str) -> Node:
                     if name != "tr":
                         break
         parent = stack[-1]
-        node = Node(name, parent, parent.out or _left_out(name, found[3], False))
+        hidden, named = _judged(name, found[3])
+        node = Node(name, parent, parent.out or hidden, named)
         if not node.out:
             parent.items.append(node)
         if name not in VOID and not found[3].rstrip().endswith("/"):
@@ -136,15 +142,20 @@ def _measure(root: Node) -> list[Node]:
         node = todo.pop()
         order.append(node)
         todo.extend(x for x in node.items if type(x) is Node)
+    for node in order:
+        node.clear()
     for node in reversed(order):
         for item in node.items:
             if type(item) is Node:
                 node.chars += item.chars
+                node.article_chars += item.article_chars
                 node.tags += item.tags + 1
                 node.link_chars += item.chars if item.tag == "a" else item.link_chars
                 node.link_tags += item.link_tags + (item.tag == "a")
             else:
                 node.chars += len(item) - item.count(" ") - item.count("\n") if item.isspace() else len(item.strip())
+        if node.tag in ("article", "main"):
+            node.article_chars = node.chars
     return order
 
 
@@ -163,12 +174,56 @@ def densities(root: Node) -> list[Node]:
     return order
 
 
+def _plain(node: Node) -> bool:
+    """Most of the text is not links."""
+    return node.link_chars * 2 < node.chars
+
+
+def _core(order: list[Node]) -> Node | None:
+    return max((n for n in order if n.total > 0), key=lambda n: n.total, default=None)
+
+
+def _pruned(root: Node) -> list[Node]:
+    """The nodes that are left, measured, once the boilerplate that does not hold the page is out of the tree."""
+    order = densities(root)
+    if not any(n.named for n in order):
+        return order
+    page = next((n for n in order if n.tag == "body"), root)
+    node, above = _core([n for n in order if _plain(n)]), set()
+    while node is not None:
+        above.add(id(node))
+        node = node.parent
+    plain = page.chars - page.link_chars
+
+    def believed(n: Node) -> bool:
+        holds = id(n) in above or n.chars * 2 >= page.chars
+        article = n.article_chars * 2 >= root.article_chars > 0 and n.chars * 4 >= page.chars
+        if n.tag in BOILERPLATE and n.tag != "form" and root.article_chars and not article:
+            return True  # a footer beside an article is a footer, however short the article
+        return n.named and not (_plain(n) and holds or article)
+
+    dropped = [(n.parent, n) for n in order if believed(n)]
+    gone, lost = {id(n) for _, n in dropped}, 0
+    inside: set[int] = set()
+    for n in order:  # parents come first: what lies in another one counts once
+        if id(n.parent) in inside or id(n) in gone:
+            if id(n.parent) not in inside:
+                lost += n.chars - n.link_chars
+            inside.add(id(n))
+    # Without an article the names of a page that would leave out three quarters of it say nothing.
+    if lost * 4 > plain * 3 and not root.article_chars:
+        gone = {id(n) for _, n in dropped if not _plain(n)}
+    for parent in {id(p): p for p, _ in dropped}.values():
+        parent.items = [x for x in parent.items if id(x) not in gone]
+    return densities(root)
+
+
 def _content(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
-    order = densities(root)
+    order = _pruned(root)
     body = next((n for n in order if n.tag == "body"), root)
     inside = [n for n in order if n.tag in ("article", "main") and n.chars]
-    core = max((n for n in order if n.total > 0), key=lambda n: n.total, default=None)
+    core = _core(order)
     if core is None:
         return [body]
     threshold, node = core.density, core
