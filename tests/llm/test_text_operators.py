@@ -54,6 +54,17 @@ def test_a_name_does_not_leave_out_the_page(wrapper, inner):
     assert html_extract.extract(html) == "\n\n".join(FIVE_TEXTS)
 
 
+@pytest.mark.parametrize("attributes", ['href="/the-hidden-valley"', 'title="Hidden treasures"', 'data-hidden="false"', "href=/x?id=comments", 'href="/x?id=comments"',
+                                        "data-class='sidebar'", 'title="a > b" data-role=search', "class=a class=sidebar", "title='class=\"ad\"'"])
+def test_only_real_attributes_are_judged(attributes):
+    assert html_extract.extract(page(f"<p>{PROSE} <a {attributes}>Linked</a> words.</p><div {attributes}>Block.</div><p>{PROSE}")) == f"{PROSE} Linked words.\n\nBlock.\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "x=1 hidden", 'title="t"hidden', "class = 'ad'", "class=ad", "id=comments", 'a="b"class="x sidebar"', 'style="display: none"', "aria-hidden=true"])
+def test_real_attributes_are_judged(attributes):
+    assert html_extract.extract(page(f"<p>{PROSE}</p><div {attributes}>Block.</div><p>{PROSE}")) == f"{PROSE}\n\n{PROSE}"
+
+
 def test_names_that_leave_out_most_of_a_page_are_not_believed():
     parts = "".join(f'<div class="widget">{PROSE} {i}</div>' for i in range(5))
     assert html_extract.extract(f"<body>{MENU}{parts}</body>") == "\n\n".join(FIVE_TEXTS)

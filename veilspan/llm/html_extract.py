@@ -42,7 +42,9 @@ NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|com
                    r"breadcrumbs?|header|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|"
                    r"social|related|recommended|widget|toolbar|pagination|pager)(?:$|[-_ ])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute: its name, then a quoted or bare value.
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+JUDGED = ("class", "id", "role", "hidden", "aria-hidden", "style")
 BLANKS = re.compile(r"[\s\x00]+")
 
 
@@ -65,8 +67,12 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
     named = tag in BOILERPLATE
     if not attributes or tag in ("html", "body", "article", "main"):
         return False, named
+    seen = set()
     for found in ATTRIBUTE.finditer(attributes):
         name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if name not in JUDGED or name in seen:  # of repeated attributes the first one counts
+            continue
+        seen.add(name)
         if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES:
             named = True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
