@@ -65,6 +65,21 @@ def test_real_attributes_are_judged(attributes):
     assert html_extract.extract(page(f"<p>{PROSE}</p><div {attributes}>Block.</div><p>{PROSE}")) == f"{PROSE}\n\n{PROSE}"
 
 
+@pytest.mark.parametrize("body, want", [
+    (f"Intro<br><div>{FIVE}</div>Outro <b>bold</b>.", ["Intro", *FIVE_TEXTS, "Outro bold."]),
+    (f"Intro<br><div><p>{PROSE}</p></div>Outro", ["Intro", PROSE, "Outro"]),
+    (f"<span>Intro</span><div>{FIVE}</div><a href='/'>Home</a> <a href='/b'>More</a>", ["Intro", *FIVE_TEXTS]),
+    (f"<article>{FIVE}</article><article><p>{PROSE} x</p><p>{PROSE} y</p></article>{MENU}", [*FIVE_TEXTS, f"{PROSE} x", f"{PROSE} y"]),
+    (f"{MENU}<div><article>{FIVE}</article></div><div><ul><li><a href='/'>Home</a></ul><article><p>{PROSE} x</p></article></div>", [*FIVE_TEXTS, f"{PROSE} x"]),
+    (f"<div class='post'>{FIVE}<article><p>{PROSE} x</p><p>{PROSE} y</p><p>{PROSE} z</p><p>{PROSE} w</p><p>{PROSE} v</p><p>{PROSE} u</p></article></div>",
+     [*FIVE_TEXTS, *[f"{PROSE} {c}" for c in "xyzwvu"]]),
+    (f"<main>{FIVE}</main><div>{FIVE}</div>", [*FIVE_TEXTS, *FIVE_TEXTS]),
+    (f"<app-root><div>{FIVE}</div>Outro</app-root>", [*FIVE_TEXTS, "Outro"]),
+])
+def test_no_text_that_reaches_the_threshold_is_lost(body, want):
+    assert html_extract.extract(f"<html><body>{body}</body></html>") == "\n\n".join(want)
+
+
 def test_names_that_leave_out_most_of_a_page_are_not_believed():
     parts = "".join(f'<div class="widget">{PROSE} {i}</div>' for i in range(5))
     assert html_extract.extract(f"<body>{MENU}{parts}</body>") == "\n\n".join(FIVE_TEXTS)

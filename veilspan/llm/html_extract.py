@@ -7,9 +7,11 @@ tag, adjusted by links:
     C / T * log(C/LC * T/LT) to the base  ln(C/nLC * LC + LC_body/C_body * C + e),   nLC = C - LC
 
 A density sum is the sum of the children's densities.  The subtree with the largest sum is the
-core; the least density on the path from it to the body is the page's threshold.  Of the
-core's ancestors' other children only what reaches the threshold and has text of its own kind counts as
-content.  Scripts and hidden elements are left out of the tree.  So are menus, forms, page headers and
+core; the least density on the path from it to the body is the page's threshold.  The core is kept
+whole, and so is an article or main element that holds it.  Of the path's elements, which all reach the
+threshold, the loose text (with inline elements) is kept, and the other blocks that reach it; so are
+all article and main elements with text, whether they reach it or not.  What consists of links for half or more is left out.
+Scripts and hidden elements are left out of the tree.  So are menus, forms, page headers and
 footers, asides, and elements that name themselves adverts, notices or comments, but only those that do
 not hold the page: a name is not believed where the element holds the core, half of the page's text or
 most of its article, nor are the names of a page without an article where they would leave out three quarters.
@@ -228,51 +230,67 @@ def _content(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
     order = _pruned(root)
     body = next((n for n in order if n.tag == "body"), root)
-    inside = [n for n in order if n.tag in ("article", "main") and n.chars]
     core = _core(order)
     if core is None:
         return [body]
-    threshold, node = core.density, core
+    threshold, node, path = core.density, core, []
     while node is not None and node is not body.parent:
         if node.chars:
             threshold = min(threshold, node.density)
+        path.append(node)
         node = node.parent
-    # An element that says it is the article, and holds the core or is held by it, gives the bounds.
-    for named in sorted(inside, key=lambda n: -n.total):
-        if _holds(named, core) or _holds(core, named) and named.chars >= 0.5 * core.chars:
-            return [named]
-    kept, node = [core], core
-    while node.parent is not None and node is not body:
-        beside = [x for x in node.parent.items if type(x) is Node and x is not node and x.density >= threshold > 0
-                  and x.link_chars * 2 < x.chars and x.tag in BLOCK]
-        if beside or _own_text(node.parent):
-            kept += beside
-        node = node.parent
-    place = {id(n): k for k, n in enumerate(_in_order(root))}
-    return sorted(kept, key=lambda n: place[id(n)])
-
-
-def _own_text(node: Node) -> bool:
-    return any(type(x) is str and not x.isspace() for x in node.items)
-
-
-def _holds(outer: Node, inner: Node) -> bool:
-    while inner is not None:
-        if inner is outer:
-            return True
-        inner = inner.parent
-    return False
-
-
-def _in_order(root: Node) -> list[Node]:
-    out, todo = [], [root]
+    # An article around the core adds what it holds; it is no bound for text beside it.
+    kept = next((n for n in reversed(path) if n.tag in ("article", "main")), core)
+    above = path[path.index(kept) + 1:]
+    whole, passed = {id(kept)}, {id(n) for n in above}
+
+    def reaches(n: Node) -> bool:
+        return n.density >= threshold > 0 and _plain(n)
+
+    for parent in above:
+        whole.update(id(x) for x in parent.items if type(x) is Node and x.tag in BLOCK and id(x) not in passed and reaches(x))
+    loose = set(passed)
+    for n in order:
+        if n.tag in ("article", "main") and id(n) not in passed and _plain(n):
+            whole.add(id(n))
+            up = n.parent
+            while up is not None and id(up) not in passed:
+                passed.add(id(up))
+                up = up.parent
+    return _gathered(body, whole, passed, loose)
+
+
+def _gathered(body: Node, whole: set[int], passed: set[int], loose: set[int]) -> list[Node]:
+    """The kept subtrees in page order, with runs of loose text of the elements in ``loose`` as subtrees of their own."""
+    out: list[Node] = []
+    todo: list[Node] = [body]
     while todo:
         node = todo.pop()
-        out.append(node)
-        todo.extend(x for x in reversed(node.items) if type(x) is Node)
+        if id(node) in whole or node.tag == "#run":
+            out.append(node)
+            continue
+        parts: list[Node] = []
+        run: Node | None = None
+        for item in node.items:
+            if type(item) is Node and (item.tag in BLOCK or id(item) in whole or id(item) in passed):
+                run = None
+                if id(item) in whole or id(item) in passed:
+                    parts.append(item)
+            elif id(node) in loose:
+                if run is None:
+                    run = Node("#run", None, False)
+                    parts.append(run)
+                run.items.append(item)
+        todo.extend(p for p in reversed(parts) if p.tag != "#run" or _mostly_text(p))
     return out
 
 
+def _mostly_text(run: Node) -> bool:
+    chars = sum(len(x.strip()) if type(x) is str else x.chars for x in run.items)
+    links = sum(x.chars if x.tag == "a" else x.link_chars for x in run.items if type(x) is Node)
+    return links * 2 < chars
+
+
 def _blocks(root: Node) -> list[str]:
     """Texts between block bounds, in order; a line break is white space."""
     out: list[list[str]] = [[]]
