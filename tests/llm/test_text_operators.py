@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -293,6 +294,61 @@ def test_licences(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) 2020, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("before", ["", "# ", " * ", "// ", "rem ", "    "])
+def test_wrapped_licences(spark, before):
+    mit = "\n\n".join(textwrap.fill(p, 76) for p in MIT.split("\n\n")[1:])
+    glued = "Copyright (c) 2020 A. Holder\n" + mit
+    isc = textwrap.fill("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+                        "provided that the above copyright notice and this permission notice appear in all copies.", 60)
+    gpl2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+    texts = [mit, glued, APACHE, APACHE.replace("\n", "\r\n"), BSD, BSD + ENDORSE, GPL, gpl2, isc, "Not released under the\nMIT License, that is", "released under the\n\nMIT License", "released under the. MIT License"]
+    rows = [(i, "\n".join(before + line for line in t.split("\n"))) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (list(r["sentence_ids"]), list(r["licences"])) for r in licenses.scan(documents(spark, rows)).collect()}
+    licences = [got[i][1] for i in range(9)]
+    assert licences == [["MIT"], ["MIT"], ["Apache-2.0"], ["Apache-2.0"], ["BSD-2-Clause", "Proprietary"], ["BSD-3-Clause", "Proprietary"], ["GPL-3.0"], ["GPL-2.0"], ["ISC"]]
+    assert got[0][0] == got[1][0] == ["mit-grant", "mit-notice", "as-is", "no-liability"]
+    assert got[2][0] == ["apache-line", "apache-may-not", "apache-copy", "apache-basis", "apache-see"]
+    assert [got[i][0] for i in (9, 10, 11)] == [[], [], []]
+
+
 def test_rules_are_ordered(spark):
     rows = spark.createDataFrame([(["bsd-grant", "x", "bsd-source", "bsd-binary"],), (["bsd-binary", "bsd-source", "bsd-grant"],),
                                   (["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"],)], "ids array<string>")

@@ -1,12 +1,15 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences; a sentence is normalised and looked up among the known licence
-sentences.  The identifiers found, in order, are a sequence; ordered rules over identifiers
+A known licence sentence is found where it begins at the begin and ends at the end of a line or a sentence;
+inside, its words may be wrapped over lines, with comment marks before each, but not over an empty line or a
+full stop.  The identifiers found, in order, are a sequence; ordered rules over identifiers
 name the licences.  Everything is column expressions over one row: no shuffle and no Python.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Known sentences: identifier to normalised sentence (lower case, words of letters, digits and dots, one blank between).
@@ -46,6 +49,39 @@ SENTENCES = {
     "spdx-apache": "spdx license identifier apache 2.0",
     "spdx-gpl3": "spdx license identifier gpl 3.0 or later",
 }
+#: Other spellings of known sentences, in use in headers and licence texts, with the identifier of the known one.
+#: Parts that a colon or semicolon ends stand for the whole sentence where its begin differs from program to program.
+VARIANTS = {
+    "licensed under the apache license version 2.0 the license": "apache-line",
+    "licensed under the apache license 2.0": "apache-line",
+    "this file is licensed under the apache license version 2.0 the license": "apache-line",
+    "this project is licensed under the apache license version 2.0": "apache-line",
+    "the asf licenses this file to you under the apache license version 2.0 the license": "apache-line",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-may-not",
+    "you may not use this work except in compliance with the license": "apache-may-not",
+    "you may obtain a copy of the license at": "apache-copy",
+    "you may obtain a copy of the license at https www.apache.org licenses license 2.0": "apache-copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind express or implied": "apache-basis",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranty or conditions of any kind either express or implied": "apache-basis",
+    "this project is licensed under the mit license": "mit-licensed",
+    "licensed under the mit license the license": "mit-licensed",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "as-is",
+    "redistributions of source code must retain the copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-source",
+    **{f"neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse"
+       for holder in ("the university", "the organization", "the company", "the author", "the project", "google inc", "google llc", "copyright holder", "the copyright holders")},
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    **{f"{begin}it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {v} of the license or at your option any later version": i
+       for v, i in ((3, "gpl-free"), (2, "gpl2-free")) for begin in ("you can redistribute ", "this software is free software you can redistribute ", "this is free software you can redistribute ")},
+    **{f"{begin}it and or modify it under the terms of the gnu general public license as published by the free software foundation version {v} of the license": i
+       for v, i in ((3, "gpl-free"), (2, "gpl2-free")) for begin in ("you can redistribute ", "this program is free software you can redistribute ")},
+    **{f"this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope"
+       for what in ("software", "file", "package")},
+    "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-line",
+    "spdx license identifier gpl 3.0 only": "spdx-gpl3",
+}
 #: Ordered rules: licence, and identifiers that must occur one after another, with anything between.  The first rule for
 #: a licence that matches names it; a licence listed in ``UNLESS`` is dropped where the other is found.
 RULES = (
@@ -58,9 +94,12 @@ RULES = (
     ("CC0-1.0", ("cc0-line",)), ("Proprietary", ("reserved",)),
 )
 UNLESS = {"BSD-2-Clause": "BSD-3-Clause"}
-#: Sentences end at a line's end, and at a full stop, semicolon or colon before white space.
-SENTENCE_END = r"\n|[.;:][ \t\r]"
-#: Each known sentence has one of these; sentences without are not normalised.
+#: Of the text with marks: begin and end of a sentence.  A full stop before white space and an empty line are marked ~,
+#: a colon or semicolon before white space |, other line ends stay.
+BOUND = r"[~|\n]"
+#: Between two words of a known sentence: a blank, a line's end, or a colon or semicolon, also at a line's end.
+BETWEEN = r"(?: |\n|[|] ?\n?)"
+#: Each known sentence has one of these; texts without are passed over.
 SIGNALS = r"(?i)licen[sc]|redistribution|free software|\bwarrant|\bpermission|\brights|\bliable\b|spdx"
 
 
@@ -72,15 +111,33 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(undotted, " +", " "))
 
 
+def marked(text: Column) -> Column:
+    """The text's normalised words, one blank between, with marks for ends of sentences and lines."""
+    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ~|", "abcdefghijklmnopqrstuvwxyz,,")
+    for pattern, by in (
+        (r"(?m)^[ \t]*(?:rem|dnl)[ \t]+", ""),  # comment marks that are words
+        (r"[.](?=[ \t\r\n])", "~"), (r"[;:](?=[ \t\r\n])", "|"),
+        (r"\n[^a-z0-9]*\n", "~"),
+        (r"[^a-z0-9.~|\n]+", " "),
+        (r"(?<![a-z0-9.])[.]++|(?<![.])[.]++(?![a-z0-9])", ""),
+        (" {2,}", " "), (" ?([~|\\n]) ?", "$1"),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    return F.concat(F.lit("~"), F.trim(out), F.lit("~"))
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order, repeats included; null and empty texts have none."""
-    known = sentences or SENTENCES
-    table = F.create_map(*[F.lit(x) for identifier, sentence in known.items() for x in (sentence, identifier)])
-    if sentences is None:  # most texts and sentences have no signal and are passed over
+    known = {sentence: identifier for identifier, sentence in (sentences or SENTENCES).items()}
+    if sentences is None:  # most texts have no signal and are passed over
+        known |= VARIANTS
         text = F.when(text.rlike(SIGNALS), text)
-    parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
-    signalled = F.filter(parts, lambda s: s.rlike(SIGNALS)) if sentences is None else parts
-    return F.filter(F.transform(signalled, lambda s: F.try_element_at(table, normalised(s))), lambda i: i.isNotNull())
+    known = {s: i for s, i in known.items() if re.fullmatch("[a-z0-9. ]*[a-z0-9][a-z0-9. ]*", s)}  # no other sentence is a normalised one
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    # The longest first: a sentence may be the begin of another one.
+    options = "|".join(BETWEEN.join(w.replace(".", "[.]") for w in s.split()) for s in sorted(known, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(marked(F.coalesce(text, F.lit(""))), F.lit(f"(?<={BOUND})(?:{options})(?={BOUND})"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(table, F.regexp_replace(s, "[ |\n]+", " ")))
 
 
 def licences_of(ids: Column, rules: tuple = RULES, unless: dict[str, str] | None = None) -> Column:
