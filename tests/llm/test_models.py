@@ -79,6 +79,29 @@ def test_toxicity_does_not_learn_from_held_out_labels(spark, fitted):
     assert (a.slope, a.intercept) == (b.slope, b.intercept)
 
 
+def test_toxicity_keeps_every_word(spark):
+    """More kept words than ``slots``: the ratios are joined and no word is lost."""
+    rng, rows, labels = random.Random(3), [], []
+    bad = [f"schimpf{a}{b}" for a in WORDS[:30] for b in "xyz"]
+    for i in range(400):
+        words = [a + b for a, b in zip(rng.choices(WORDS, k=80), rng.choices(WORDS, k=80))]
+        if i % 4 == 0:
+            words[::9] = rng.choices(bad, k=len(words[::9]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    rows += [(1000, None), (1000, None), (1001, "..."), (None, "no id"), (0, rows[0][1]), (0, rows[0][1])]
+    docs, table = documents(spark, rows).withColumn("_salt", F.lit(1)).withColumn("Digest", F.lit("d")), spark.createDataFrame(labels, LABELS)
+    wide, narrow = toxicity.fit(docs, table), toxicity.fit(docs, table, slots=8)
+    assert wide.shared is not None and narrow.shared is None and wide.ratios.count() > 8
+    assert (narrow.slope, narrow.intercept) == pytest.approx((wide.slope, wide.intercept))
+    a, b = wide.transform(docs), narrow.transform(docs)
+    assert a.columns == b.columns
+    key = lambda r: (str(r["doc_id"]), r["text"] or "")
+    a, b = sorted(a.collect(), key=key), sorted(b.collect(), key=key)
+    assert [tuple(r)[:-1] for r in a] == [tuple(r)[:-1] for r in b]
+    assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b], abs=1e-9)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, None, None), (None, 1, 1)], [(i, 1, 0) for i in range(20)], [(i, 0, 1) for i in range(20)]])
 def test_models_without_both_classes(spark, labels):
     rows, _ = corpus(20)
