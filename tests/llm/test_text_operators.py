@@ -241,6 +241,25 @@ def test_encoder_equals_the_tokenizer(spark):
         assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("texts", [["a \u1fef b"], ["\u1fef"], ["x\u1fefy one two"], ["one \u1fef two ` three"], ["` \u1fef", "later words é"], ["`\u0300 e\u0301 `` a`b"]])
+def test_encoder_with_characters_that_become_the_stop(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    got = [ids.tolist() for ids in packing.Encoder().many(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_when_the_stops_do_not_add_up(monkeypatch):
+    texts = ["one two three", "two red"]
+    want = [ids.tolist() for ids in packing.Encoder().many(texts)]
+    encoder = packing.Encoder()
+    encoder.stop = int(encoder.ids("red")[0])
+    encoder.forget()
+    assert [ids.tolist() for ids in encoder.many(texts)] == want
+
+
 def test_pack(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["red", "green", "blueish"], k=rng.randrange(40)))) for i in range(60)] + [(7, "red"), (7, "red"), (None, None), (99, "red " * 700)]

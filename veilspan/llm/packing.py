@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ PIECE_CHARS = 1 << 20
 REMEMBERED = 1_000_000
 #: A mark after a letter or digit begins a new piece for the tokenizer, so a blank between them changes no id.
 _MARK = re.compile(r"[.,;:!?*$%#&](?<=[^\W_].)")
-#: Parts pieces that are encoded together; as a word of its own it is one id, which no other word has.
+#: Parts pieces that are encoded together; as a word of its own it is one id, which only words have that hold it once normalised (NFC).
 STOP = "`"
 _ENCODERS: dict[str | None, "Encoder"] = {}
 
@@ -70,12 +71,14 @@ class Encoder:
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
     def learn(self) -> None:
-        """Encodes the waiting pieces as one text, parted by a mark; those that hold the mark go one by one."""
+        """Encodes the waiting pieces as one text, parted by a mark; those that hold the mark go one by one, and all do where the marks do not add up."""
         pieces, self.place.waiting = self.place.waiting, []
-        alone = [p == "" or STOP in p for p in pieces] if self.stop is not None else [True] * len(pieces)
+        alone = [p == "" or STOP in (p if p.isascii() else unicodedata.normalize("NFC", p)) for p in pieces] if self.stop is not None else [True] * len(pieces)
         joined = [p for p, x in zip(pieces, alone) if not x]
         ids = np.array(self.encode([f" {STOP} ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(ids == self.stop) if joined else np.array([], np.int64)
+        if joined and len(stops) != len(joined) - 1:
+            alone, joined = [True] * len(pieces), []
         parts = np.delete(ids, stops)
         cuts = stops - np.arange(len(stops))
         if not any(alone):
