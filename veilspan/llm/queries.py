@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontaminate, html_extract, licenses, line_dedup, packing, quality, simhash, toxicity
+from . import ann, chat, decontaminate, html_extract, licenses, line_dedup, merkle, packing, quality, simhash, toxicity
 from .common import held_out, table
 from .sql import TWINS
 
@@ -77,4 +77,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("licences", ",").alias("licences"))
 
 
-QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(n_chars):
+        return merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", digest(F.col("n_chars")).alias("leaf"), F.when(changed, digest(F.col("n_chars") + 1)).alias("told"))
+    leaves, tops, store, root = merkle.manifest(docs, "lang", ["doc_id"], "leaf")
+    found = merkle.proofs(leaves.select("tree", "rank", "doc_id", "leaf", "told"), tops, store, root or "")
+    out = found.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                       merkle.folded(F.coalesce("told", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses, op12_merkle)}

@@ -51,4 +51,58 @@ SELECT doc_id, n_sentences, ids AS sentence_ids,
 """
 
 
-TWINS = {"op2_chat": CHAT, "op8_line_dedup": LINES, "op10_licenses": _licences()}
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+def _merkle(levels: int = 24) -> str:
+    """Unrolled, for trees of up to 2^levels leaves: a level more leaves smaller trees as they are."""
+    def digest(n_chars: str = "n_chars") -> str:
+        cells = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}) || ':' || {c} END" for c in cells) + ")"
+
+    def trees(name: str, first: str) -> str:
+        steps = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            steps.append(f"{name}{k + 1} AS (SELECT tree, i // 2 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h, "
+                         f"(max(n) + 1) // 2 AS n FROM {name}{k} GROUP BY tree, i // 2)")
+        every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM {name}{k}" for k in range(levels))
+        side = f"SELECT k, n, tree, i, h FROM ({every}) WHERE n > 1"
+        return ", ".join(steps) + f", {name}_nodes AS ({side})"
+
+    def paths(name: str) -> str:
+        """For each leaf the list of siblings, leaf to root, each with its side."""
+        joined = f"FROM {name}0 a JOIN {name}_nodes o ON o.tree = a.tree AND o.i = a.i >> o.k LEFT JOIN {name}_nodes s ON s.tree = a.tree AND s.k = o.k AND s.i = xor(o.i, 1)"
+        return (f"{name}_path AS (SELECT a.tree, a.i, list(CASE WHEN s.h IS NULL THEN '' WHEN s.i < o.i THEN '<' || s.h ELSE '>' || s.h END ORDER BY o.k) AS path "
+                f"{joined} GROUP BY a.tree, a.i)")
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {digest()} AS leaf,
+  CASE WHEN {CRC32.format('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {digest('(n_chars + 1)')} ELSE {digest()} END AS told FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{trees("t", "SELECT tree, i, leaf AS h, n FROM r")}, {paths("t")},
+{trees("u", f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h, count(*) OVER () AS n, tree AS below FROM t{levels}").replace("SELECT 0 AS k, * FROM u0", "SELECT 0 AS k, tree, i, h, n FROM u0")}, {paths("u")},
+p AS (SELECT r.doc_id, r.leaf, r.told, u0.h AS subroot, (SELECT h FROM u{levels}) AS root, list_concat(coalesce(t_path.path, []), coalesce(u_path.path, [])) AS path
+  FROM r JOIN u0 ON u0.below = r.tree LEFT JOIN t_path ON t_path.tree = r.tree AND t_path.i = r.i LEFT JOIN u_path ON u_path.i = u0.i),
+f AS (SELECT *, list_reduce(list_prepend(told, path), lambda a, s: sha256(CASE WHEN s[1] = '<' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(path, lambda s: s[2:]), 'string_agg', ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM f
+"""
+
+
+RANKED = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+d AS (SELECT doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+w AS (SELECT doc_id, n, unnest(terms) AS term FROM d),
+c AS (SELECT doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0 * (SELECT nn FROM g) + 2.0) / (2.0 * count(*) + 1.0))) AS BIGINT) AS weight FROM c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN c USING (term) JOIN f USING (term), g GROUP BY item_id, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+TWINS = {"op2_chat": CHAT, "op8_line_dedup": LINES, "op10_licenses": _licences(), "op11_ranked": RANKED, "op12_merkle": _merkle()}
