@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontaminate, html_extract, licenses, line_dedup, merkle, packing, quality, simhash, toxicity
+from . import ann, brown, chat, decontaminate, html_extract, licenses, line_dedup, merkle, packing, quality, simhash, toxicity
 from .common import held_out, table
 from .sql import TWINS
 
@@ -91,4 +91,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses, op12_merkle)}
+def op13_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = brown.fit(docs.where(brown.trained_on(F.col("doc_id"))))
+    return model.score(docs).select("doc_id", (~brown.trained_on(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                    "base_score", "score")
+
+
+QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses, op12_merkle, op13_brown)}
