@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, brown, chat, decontaminate, html_extract, licenses, line_dedup, merkle, packing, quality, simhash, toxicity
+from . import ann, brown, chat, decontaminate, html_extract, k2treap, licenses, line_dedup, merkle, packing, quality, simhash, toxicity
 from .common import held_out, table
 from .sql import TWINS
 
@@ -77,6 +77,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("licences", ",").alias("licences"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return k2treap.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(n_chars):
         return merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
@@ -98,4 +103,4 @@ def op13_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "base_score", "score")
 
 
-QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses, op12_merkle, op13_brown)}
+QUERIES = {q.__name__: (q, TWINS.get(q.__name__)) for q in (op1_html, op2_chat, op3_quality, op4_neighbours, op5_decontaminate, op6_simhash, op7_packing, op8_line_dedup, op9_toxicity, op10_licenses, op11_ranked, op12_merkle, op13_brown)}
