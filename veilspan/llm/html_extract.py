@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
+IN_HEAD = frozenset("base link meta".split()) | RAW
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
 #: An open p ends where one of these begins.
@@ -38,12 +39,15 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
 #: Never article text.
-BOILERPLATE = frozenset("nav header footer aside form button select dialog menu figure".split()) - {"figure"}
+BOILERPLATE = frozenset("nav header footer aside form button select dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|respond|replies|sidebar|side|nav|navbar|navigation|menu|"
                    r"breadcrumbs?|header|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|"
                    r"social|related|recommended|widget|toolbar|pagination|pager)(?:$|[-_ ])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+#: Where a tag, a comment or a declaration begins; the rest of a tag, whose quoted values may hold ``>``.
+OPENING = re.compile(r"<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)|(!--)|[!?])")
+REST = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+RAW_ENDS = {name: re.compile(rf"</{name}(?![A-Za-z0-9:-])", re.I | re.A) for name in RAW}
 #: One attribute: its name, then a quoted or bare value.
 ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 JUDGED = ("class", "id", "role", "hidden", "aria-hidden", "style")
@@ -84,72 +88,135 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, named
 
 
+class _Open:
+    """The open elements, with the places of each name and of the blocks, so that no search walks over them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, [-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        return max((places[-1] for name in names if (places := self.at.get(name))), default=-1)
+
+    def close(self, name: str) -> None:
+        k = self.last((name,))
+        if k > 0 and (name in BLOCK or k > self.blocks[-1]):  # an inline end tag closes nothing beyond its block
+            self.cut(k)
+
+    def make_way(self, name: str) -> None:
+        """Closes what cannot stay open when ``name`` begins."""
+        if name in ENDS_P and self.blocks[-1] > 0 and self.stack[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if name in CLOSES:
+            same, bounds = CLOSES[name]
+            while (k := self.last(same)) > self.last(bounds):
+                self.cut(k)
+                if name != "tr":
+                    break
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases."""
+    """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases.
+
+    All content outside the head belongs to the body, also what stands before, behind or without one.
+    """
     root = Node("#root", None, False)
-    stack, at = [root], 0
-    find, size = TAG.search, len(page)
-    lowered = None
+    open_, at, size = _Open(root), 0, len(page)
+    stack, quotes, body = open_.stack, True, None
     while at < size:
-        found = find(page, at)
+        found = OPENING.search(page, at)
         end = found.start() if found else size
-        if end > at and not stack[-1].out:
-            stack[-1].items.append(page[at:end])
+        if found and not found[3] and page.find(">", end) < 0:
+            found, end = None, size  # no tag ends any more
+        if end > at:
+            if stack[-1].tag == "head" and not page[at:end].isspace():
+                open_.cut(len(stack) - 1)  # text ends the head
+            if not stack[-1].out:
+                stack[-1].items.append(page[at:end])
         if not found:
             break
-        at = found.end()
-        name = found[2]
-        if name is None:
+        if found[3]:
+            at = page.find("-->", end + 4)
+            at = size if at < 0 else at + 3
+            continue
+        if found[2] is None:
+            at = page.find(">", end) + 1
             continue
-        name = name.lower()
+        name = found[2].lower()
+        rest = REST.match(page, found.end()) if quotes else None
+        if rest is None:  # a quote stays open: from here on the next bracket ends a tag
+            quotes, at = False, page.find(">", found.end()) + 1
+            attributes = page[found.end():at - 1]
+        else:
+            attributes, at = rest[1], rest.end()
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and stack[k].tag in BLOCK:
-                    break  # an inline end tag closes nothing beyond its block
+            if name not in ("body", "html"):  # what follows the body belongs to it
+                open_.close(name)
             continue
+        if stack[-1].tag == "head" and name not in IN_HEAD:
+            open_.cut(len(stack) - 1)
         if name in RAW:
-            lowered = page.lower() if lowered is None else lowered
-            end = re.compile(rf"</{re.escape(name)}(?![a-z0-9:-])[^>]*>").search(lowered if len(lowered) == size else page, at)
-            at = end.end() if end else size
+            end_tag = RAW_ENDS[name].search(page, at)
+            at = page.find(">", end_tag.end()) + 1 if end_tag else size
+            if not at:
+                break
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if name in CLOSES:
-            same, bounds = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in same:
-                    del stack[k:]
-                    if name != "tr":
-                        break
+        if name in ("html", "head", "body"):
+            if body is not None or len(stack) > 1 + (stack[-1].tag == "html") or name == "html" and len(stack) > 1:
+                continue  # there is one of each, before other elements are open
+        open_.make_way(name)
         parent = stack[-1]
-        hidden, named = _judged(name, found[3])
+        hidden, named = _judged(name, attributes)
         node = Node(name, parent, parent.out or hidden, named)
         if not node.out:
             parent.items.append(node)
-        if name not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(node)
-        elif name not in VOID and name in BLOCK:
-            stack.append(node)  # a slash does not close an element of HTML
+        if name == "body":
+            body = node
+        # A slash does not close an element of HTML.
+        if name not in VOID and (name in BLOCK or not attributes.rstrip().endswith("/")):
+            open_.push(node)
+    if body is not None:
+        _embody(root, body)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts of each subtree, children before parents, without recursion."""
+def _embody(root: Node, body: Node) -> None:
+    """Moves what stands before the body into it."""
+    frame, before = ("html", "head", "body"), []
+    for holder in [root] if body.parent is root else [root, body.parent]:
+        before += [x for x in holder.items if type(x) is str or x.tag not in frame]
+        holder.items = [x for x in holder.items if type(x) is Node and x.tag in frame]
+    for x in before:
+        if type(x) is Node:
+            x.parent = body
+    body.items[:0] = before
+
+
+def _below(root: Node) -> list[Node]:
+    """A subtree's elements, parents before children, without recursion."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo.extend(x for x in node.items if type(x) is Node)
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Counts of each subtree, children before parents."""
+    order = _below(root)
     for node in order:
         node.clear()
     for node in reversed(order):
@@ -230,7 +297,7 @@ def _content(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
     order = _pruned(root)
     body = next((n for n in order if n.tag == "body"), root)
-    core = _core(order)
+    core = _core(_below(body))
     if core is None:
         return [body]
     threshold, node, path = core.density, core, []
