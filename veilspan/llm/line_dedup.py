@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.joins import is_small
 from .common import LOWER, fresh, join_measured, saved
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -115,6 +116,14 @@ def _streamed(min_docs: int, buffer: int):
     return walk
 
 
+def _with_stats(marked: DataFrame, stats: DataFrame) -> DataFrame:
+    """Marked rows with what is known of their key: broadcast where measured small, else both sides salted, so that a hot key is split."""
+    if is_small(stats):
+        return marked.join(F.broadcast(stats), ["h1", "h2"])
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h1", "h2", "salt"]).drop("salt")
+
+
 def _bitmaps(n_lines: pd.Series, dropped: pd.Series) -> pd.DataFrame:
     counts, maps = [], []
     for n, parts in zip(n_lines, dropped):
@@ -147,8 +156,8 @@ def line_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     # A very common key has marked rows in every task: its documents are counted by salt, then by key.
     parts = marked.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     parts = parts.agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-    stats = parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-    late = marked.join(stats.where(F.col("n") >= min_docs), ["h1", "h2"]).where("doc_id < top")
+    stats = saved(parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs), "stats")
+    late = _with_stats(marked, stats).where("doc_id < top")
     dropped = walked.where("not marked").select("doc_id", "doc_key", "n_lines", "lines").unionByName(
         late.select("doc_id", "doc_key", "n_lines", "lines"))
     folded = dropped.groupBy("doc_id", "doc_key").agg(F.first("n_lines").alias("n_lines"), F.collect_list("lines").alias("lines"))
