@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -383,3 +384,41 @@ def test_digests_of_the_query(spark, tmp_path):
     assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{told}\nassistant\n{told}\n".encode()).hexdigest()
     assert got[-1]["loss_chars"] == len(told) and got[-1]["loss_sha256"] == hashlib.sha256(told.encode()).hexdigest()
     assert got[3]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\na<|b\n").hexdigest() and got[3]["n_turns"] == 2
+
+
+@pytest.mark.parametrize("html", [
+    f"<html><body><p>Short one.</p></body>{FIVE}</html>", f"<html>{FIVE}<body><p>Short one.</p></body></html>", f"<html><body></body>{FIVE}</html>", FIVE,
+    f"{FIVE}<body></body>", f"<head><title>T</title></head>{FIVE}<body><nav>Menu</nav></body>", f"<html><head></head>{FIVE}</html><p>Short one.</p>",
+    f"<body><p>Short one.</body></html>{FIVE}"])
+def test_content_outside_the_body_belongs_to_it(html):
+    blocks = html_extract.extract(html).split("\n\n")
+    assert [b for b in blocks if b != "Short one."] == FIVE_TEXTS and ("Short one." in blocks) == ("Short" in html)
+
+
+def test_text_behind_an_empty_body():
+    assert html_extract.extract("<body></body><div>text</div>") == "text"
+    assert html_extract.extract("<head>loose<title>T</title></head>") == "loose"
+
+
+def test_lower_case_that_changes_length_loses_nothing():
+    assert html_extract.extract(f"<body><p>İ {PROSE}</p><script>var a</SCRIPT>{FIVE}</body>") == "\n\n".join([f"İ {PROSE}", *FIVE_TEXTS])
+
+
+def test_formulas_are_text():
+    assert html_extract.extract(page(f"<p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p>")) == f"{PROSE} x=2."
+
+
+@pytest.mark.parametrize("soup", ["<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<a " * 100_000, "<a '\">" * 100_000,
+                                  "<b>" * 50_000 + "<td>" * 50_000, "<script>" + "</script" * 100_000, "<p>" * 50_000, "<li><b>" * 50_000, "<!--" * 100_000])
+def test_slow_pages_take_linear_time(soup):
+    started = time.process_time()
+    html_extract.extract(soup + "end")
+    assert time.process_time() - started < 10
+
+
+def test_tag_soup_never_fails():
+    parts = ("<p> </p> <body> </body> <html> </html> <head> </head> <div|class=ad> </div> <article> </article> text <a|href='x'> </a> <table> <tr> <td> </td> "
+             "<script> </script> <!-- --> <b \" > ' İ &amp; <li> <ul> </ul> <form> </form> <br/> <main> <math> </math> <svg> <title>").split()
+    rng = random.Random(11)
+    for _ in range(4000):
+        assert isinstance(html_extract.extract("".join(p.replace("|", " ") + rng.choice(["", " ", "word "]) for p in rng.choices(parts, k=rng.randint(1, 40)))), str)

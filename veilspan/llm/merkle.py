@@ -135,7 +135,7 @@ def _opened(bits: int):
 def _delivered(bits: int, columns: list[str]):
     def walk(asked: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or opened.empty:
-            return pd.DataFrame(columns=[*columns, "path"])
+            return pd.DataFrame(columns=[*columns, "digest", "path"])
         r = opened.iloc[0]
         nodes, segments = _segments(r["digest"], int(r["levels"]), r["children"])
         digit = asked["rank"].to_numpy() & ((1 << bits) - 1)
