@@ -14,6 +14,7 @@ import __spark_entry__ as entry_module
 from conftest import fake
 from veilspan.operators import baseline as B, fixplan as X, heartbeat as H, policy as P, reports as R, score as S
 from veilspan.operators.scan import findings_table, scan_df
+from veilspan.operators.store import VaultStore
 from veilspan.options import ScanOptions
 from veilspan.sources.files import MAX_BYTES, staged, text_files
 from veilspan.streaming import guard as G
@@ -185,7 +186,6 @@ def test_file_source(spark, tmp_path):
 
 
 def test_stream_equals_batch_and_survives_a_repeat(spark, tmp_path):
-    from veilspan.operators import vault as V
     source = tmp_path / "in"
     spark.createDataFrame([(1, f"a {AWS}"), (2, "b")], "i int, text string").write.parquet(str(source))
     stream = spark.readStream.schema("i int, text string").parquet(str(source))
@@ -194,7 +194,7 @@ def test_stream_equals_batch_and_survives_a_repeat(spark, tmp_path):
     first = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("i", "text").collect())
     G.redact_stream(stream, "text", *args, str(tmp_path / "c2")).awaitTermination()  # the same batch again
     again = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("i", "text").collect())
-    assert first == again and AWS not in str(first) and V.load_vault(spark, str(tmp_path / "vault")).count() == 1
+    assert first == again and AWS not in str(first) and VaultStore(spark, str(tmp_path / "vault")).load().count() == 1
 
 
 @pytest.mark.parametrize("name", ["doc_scan_summary", "labelled_findings", "suppression_ladder", "redacted_documents", "rehydrate_warnings",

@@ -191,11 +191,12 @@ def result_context(substituted: Column, warnings: Column) -> Column:
 
 
 def decide_results(df: DataFrame, result_col: str, keys: list[str], vault: DataFrame,
-                   options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Add ``context`` and ``substituted`` for tool results given as JSON text."""
-    restored = guard_inbound(df.withColumn("_text", result_text(F.col(result_col))), "_text", keys, vault, options)
-    return (restored.withColumn("context", result_context(F.col("substituted"), F.col("warnings")))
-            .drop("_text", "restored", "warnings"))
+                   options: ScanOptions = ScanOptions(), restored: str | None = None) -> DataFrame:
+    """Add ``context`` and ``substituted`` for tool results given as JSON text; ``restored`` names a column for the text itself."""
+    done = guard_inbound(df.withColumn("_text", result_text(F.col(result_col))), "_text", keys, vault, options)
+    done = done.withColumn("context", result_context(F.col("substituted"), F.col("warnings")))
+    done = done.withColumn("_text", F.col("restored")).drop("restored", "warnings")
+    return done.drop("_text") if restored is None else done.withColumnRenamed("_text", restored)
 
 
 def host_response(decided: Column, event_kind: Column, asks: Column, rewrites: Column) -> Column:

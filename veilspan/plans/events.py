@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.predicates import SENSITIVE_COMMAND as COMMAND_PATTERN, is_sensitive_command, is_sensitive_path
-from ..functions.text import human_age
+from ..functions.text import fingerprint, human_age
 from ..operators import fixplan as X, heartbeat as H, policy as P
 from ..operators.joins import gone_at_end, shared_folder
+from ..operators.redact import redact_df
+from ..operators.store import VaultStore
 from ..operators.vault import empty_vault, key_frame
 from ..options import ScanOptions
 from ..sources.messages import parse_events
 from ..streaming import guard as G
 from . import duck
+from .detection import SALT, SERIOUS, fp
 from .inputs import labelled, labelled_sql, prompts_sql, table, with_prompt_samples
 from .masking import KEY, PROMPT_SERIOUS, spliced_sql, vault_sql
 
@@ -305,6 +309,70 @@ def stream_decisions(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+def _json_event(name, **fields):
+    return F.to_json(F.struct(F.lit(name).alias("hook_event_name"), *[c.alias(k) for k, c in fields.items()]))
+
+
+def _source_of_events(folder):
+    """Event lines as they arrive: one file, then one batch, at a time."""
+    return lambda spark: spark.readStream.schema("row_id long, value string").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_results(spark, sf_dir):
+    """Tool calls are masked in one run of a stream, their results restored in the next, from the stored vault.
+
+    The calls of each half of the conversations are a batch, their results, some of them bent, another.  The second run
+    resumes where the first one stopped and reads the key with the vault.
+    """
+    base = _new_folder(spark)
+    stream = _source_of_events(f"{base}/events/*")
+
+    def run(key):
+        events = parse_events(stream(spark))
+        G.event_stream(events, ["row_id"], F.lit("gemini"), f"{base}/vault", key, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+        return spark.read.parquet(f"{base}/out")
+
+    turns = with_prompt_samples(table(spark, sf_dir, "conversations")).select("row_id", "conv_id", F.coalesce("text", F.lit("")).alias("text"))
+    calls = turns.select("row_id", "conv_id", _json_event("BeforeTool", tool_name=F.lit("write"), tool_input=F.struct(F.col("text").alias("content"))).alias("value"))
+    for half in (0, 1):
+        calls.where(F.col("conv_id") % 2 == half).select("row_id", "value").coalesce(1).write.parquet(f"{base}/events/calls{half}")
+    masked = run(KEY).select("row_id", "input.content").join(turns.select("row_id", "text", "conv_id"), "row_id")
+    back = F.when(F.col("row_id") % 5 == 0, F.concat(F.coalesce("content", "text"), F.lit(" MASKED_NOBODY_KEY_0000"))).otherwise(F.coalesce("content", "text"))
+    answers = masked.select("row_id", "conv_id", _json_event("AfterTool", tool_response=F.struct(back.alias("output"))).alias("value"))
+    for half in (0, 1):
+        answers.where(F.col("conv_id") % 2 == half).select("row_id", "value").coalesce(1).write.parquet(f"{base}/events/results{half}")
+    done = run(None)
+    return done.where("kind = 'result'").select("row_id", "decision.kind", "substituted", F.sha2("text", 256).alias("text"), F.when(
+        F.startswith("context", F.lit("restored")), F.col("context")).when(F.col("context").isNotNull(), "warning").alias("context"))
+
+
+STREAM_RESULTS = (f"WITH {PROMPT_SERIOUS}, counted AS (SELECT row_id, coalesce(text, '') AS text, (SELECT count(*) FROM serious s WHERE s.row_id = d.row_id) AS n FROM docs d) "
+                  "SELECT row_id, 'allow' AS kind, n AS substituted, sha256(CASE WHEN row_id % 5 = 0 THEN text || ' MASKED_NOBODY_KEY_0000' ELSE text END) AS text, "
+                  "CASE WHEN row_id % 5 = 0 THEN 'warning' WHEN n > 0 THEN 'restored ' || n || ' value(s)' END AS context FROM counted")
+
+
+def vault_restart(spark, sf_dir):
+    """Two sessions mask two batches each with one stored vault: what every secret is called, by how many batches, in how many files."""
+    path = f"{_new_folder(spark)}/vault"
+    docs = labelled(spark, sf_dir).select("doc_id", "text")
+    tables = []
+    for session, key in ((spark, KEY), (spark.newSession(), None)):
+        for _ in range(2):
+            store = VaultStore(session, path, key, segments=2)
+            part = docs.where(F.col("doc_id") % 4 == len(tables))
+            out, vault = G.with_vault(store, lambda held, pads: redact_df(part, "text", ["doc_id"], held, pads))
+            used = out.select(F.explode("replacements").alias("r")).select(F.col("r.value").alias("placeholder")).distinct()
+            tables.append(used.withColumn("batch", F.lit(len(tables))))
+    known = store.load().select("placeholder", fingerprint(F.col("secret"), SALT).alias("fingerprint"))
+    seen = reduce(DataFrame.unionByName, tables).groupBy("placeholder").agg(F.count("*").alias("batches"))
+    few = store.file_count() <= 1 + 3 + 3 * 2 * 2  # key, manifests, and the segments that they name
+    return known.join(seen, "placeholder").select("placeholder", "fingerprint", "batches", F.lit(few).alias("few_files"))
+
+
+VAULT_RESTART = (f"WITH {SERIOUS}, {vault_sql('doc_id % 4, doc_id')} SELECT placeholder, {fp('secret')} AS fingerprint, "
+                 "(SELECT count(DISTINCT doc_id % 4) FROM serious WHERE match = secret) AS batches, TRUE AS few_files FROM vault")
+
+
 STREAM_DECISIONS = f"""WITH {PROMPT_SERIOUS}, named AS (SELECT row_id, text AS command, {picked(ARRIVALS, 'row_id', 'duckdb')} AS name, {picked(PATHS, 'turn', 'duckdb')} AS path FROM docs)
 SELECT row_id, name <> 'broken' AS parsed, CASE WHEN name <> 'broken' THEN name ELSE '' END AS event,
   CASE WHEN name IN ('UserPromptSubmit', 'PreToolUse', 'beforeShellExecution') AND row_id IN (SELECT row_id FROM serious) THEN 'deny'
@@ -329,4 +397,6 @@ QUERIES = {
     "stream_redact": (stream_redact, STREAM_REDACT),
     "stream_heartbeat": (stream_heartbeat, HEARTBEAT),
     "stream_decisions": (stream_decisions, STREAM_DECISIONS),
+    "stream_results": (stream_results, STREAM_RESULTS),
+    "vault_restart": (vault_restart, VAULT_RESTART),
 }

@@ -52,7 +52,9 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
         *[c for c in lines.columns if c != "_json"], v.isNotNull().alias("parsed"), F.coalesce(text(*EVENT_NAMES), F.lit("")).alias("event"),
         text("prompt").alias("prompt"), F.coalesce(text(*TOOL_NAMES), F.lit("")).alias("tool_name"),
         F.from_json(raw(*INPUT_NAMES), "map<string,string>").alias("tool_input"),
-        raw(*RESPONSE_NAMES).alias("tool_response"), text("cwd").alias("cwd"),
+        # As JSON, so that a text that is the whole response keeps its quotes.
+        F.coalesce(*[F.nullif(F.to_json(F.try_variant_get(v, f"$.{n}", "variant")), F.lit("null")) for n in RESPONSE_NAMES]).alias("tool_response"),
+        text("cwd").alias("cwd"),
         # A command comes as text or as the list of its words.
         command_text(text("command"), F.from_json(raw("command"), "array<string>")).alias("command"),
         text(*PATH_FIELDS).alias("path"))
