@@ -90,8 +90,35 @@ def _rule_table(rules: tuple[Rule, ...]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), RULE_LITERAL)
 
 
-def located(text: Column, pattern: Column, secret_of) -> Column:
-    """All matches as structs (at, whole, secret); ``secret_of(text, pattern)`` picks the secrets."""
+# Marks put around matches: code points that Unicode keeps free of characters.
+BEFORE, WITHIN, BEHIND = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def located(text: Column, pattern: Column, refer: str | Column, secret_of) -> Column:
+    """All matches as structs (at, whole, secret); ``refer`` names the secret's group, as in ``$1``.
+
+    The text is matched once: each match is replaced by itself, its secret and marks, and wholes, secrets and
+    gaps are cut from the result.  A text that holds a mark is matched for each of the three;
+    ``secret_of(text, pattern)`` then picks the secrets.
+    """
+    def marked(pieces: Column) -> Column:
+        found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p: F.struct(
+            F.substring_index(p, WITHIN, 1).alias("whole"), F.substring_index(F.substring_index(p, BEHIND, 1), WITHIN, -1).alias("secret"),
+            F.length(F.substring_index(p, BEHIND, -1)).alias("gap")))
+
+        def placed(ms: Column) -> Column:
+            steps = F.transform(ms, lambda m: F.length(m["whole"]) + m["gap"])
+            return let(running(steps, lambda a, b: a + b), lambda ends: F.transform(ms, lambda m, i: F.struct(
+                (F.length(F.get(pieces, F.lit(0))) + F.get(ends, i) - F.length(m["whole"]) - m["gap"]).alias("at"),
+                m["whole"].alias("whole"), m["secret"].alias("secret"))))
+        return let(found, placed)
+    refer = F.lit(refer) if isinstance(refer, str) else refer
+    replaced = F.regexp_replace(text, pattern, F.concat(F.lit(f"{BEFORE}$0{WITHIN}"), refer, F.lit(BEHIND)))
+    held = contains_any(text, (BEFORE, WITHIN, BEHIND))
+    return F.when(held, _located_apart(text, pattern, secret_of)).otherwise(let(F.split(replaced, BEFORE, -1), marked))
+
+
+def _located_apart(text: Column, pattern: Column, secret_of) -> Column:
     def with_gaps(ctx: Column) -> Column:
         # The running total of gap + match length ends where a match ends.
         steps = F.zip_with(F.slice(ctx["gaps"], F.lit(1), F.size(ctx["whole"])), ctx["whole"],
@@ -128,7 +155,7 @@ def spans_of_hits(text: Column, hits: Column, options: ScanOptions) -> Column:
     rules = options.rules
 
     def spans_of(rule: Column, position: Column) -> Column:
-        found = located(text, rule["pattern"], lambda t, p: F.regexp_extract_all(t, p, rule["grp"]))
+        found = located(text, rule["pattern"], F.concat(F.lit("$"), rule["grp"].cast("string")), lambda t, p: F.regexp_extract_all(t, p, rule["grp"]))
         if options.match_limit is not None:
             found = F.slice(found, F.lit(1), F.lit(options.match_limit))
         spans = F.transform(found, lambda m, i: _span(
@@ -195,7 +222,7 @@ def entropy_spans(text: Column, covered: Column, options: ScanOptions) -> Column
                           lambda a, b: F.when(F.length(a) > 0, a).otherwise(b))
 
     def to_spans(taken: Column) -> Column:
-        spans = F.transform(located(text, pattern, values), lambda m, i: _span(
+        spans = F.transform(located(text, pattern, "$1$2", values), lambda m, i: _span(
             m["at"] + F.position(m["secret"], m["whole"]) - 1, m["secret"], F.lit(CONFIDENCE_RANK["low"]),
             F.lit(len(options.rules) + 1), i, F.lit(ENTROPY_RULE_ID), F.lit(ENTROPY_PROVIDER), F.lit("low"),
             entropy_of(m["secret"])))

@@ -51,7 +51,7 @@ def enclosing_literal(text: Column, start: Column) -> Column:
         line, at = F.concat(parts["before"], parts["after"]), F.length(parts["before"])
         found = []
         for quote in QUOTES:
-            spans = located(line, F.lit(f"{quote}[^\\n]*?(?<!\\\\){quote}"), lambda t, p: F.regexp_extract_all(t, p, F.lit(0)))
+            spans = located(line, F.lit(f"{quote}[^\\n]*?(?<!\\\\){quote}"), "$0", lambda t, p: F.regexp_extract_all(t, p, F.lit(0)))
             around = F.filter(spans, lambda m: (m["at"] < at) & (at < m["at"] + F.length(m["whole"]) - 1))
             found.append(F.transform(F.slice(around, 1, 1), lambda m: F.struct(
                 (start - at + m["at"]).cast("int").alias("start"),

@@ -104,7 +104,7 @@ def redact_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame, k
 def placeholder_tokens(df: DataFrame, text_col: str, keys: list[str], options: ScanOptions) -> DataFrame:
     """Every placeholder-shaped token: keys, start, end, token."""
     text = F.col(text_col)
-    found = located(text, F.lit(f"{options.prefix}_[A-Za-z0-9_]*"), lambda t, p: F.regexp_extract_all(t, p, F.lit(0)))
+    found = located(text, F.lit(f"{options.prefix}_[A-Za-z0-9_]*"), "$0", lambda t, p: F.regexp_extract_all(t, p, F.lit(0)))
     return (df.filter(has_placeholders(text, options.prefix))
             .select(*keys, F.explode(found).alias("m"))
             .select(*keys, F.col("m.at").alias("start"), (F.col("m.at") + F.length("m.whole")).alias("end"),
