@@ -8,7 +8,7 @@ from ..functions.columns import let
 from ..functions.predicates import is_sensitive_command, is_sensitive_path
 from ..options import ScanOptions
 from .nested import result_text
-from .redact import ROW, blocking_spans, redact_spans, rehydrate_df, with_row
+from .redact import redact_scanned, rehydrate_df
 from .scan import blocking, scan_df
 from .vault import empty_vault
 
@@ -93,9 +93,7 @@ def guard_outbound(df: DataFrame, text_col: str, keys: list[str], options: ScanO
         if key is None:
             raise ValueError("redact mode needs a vault key")
         vault = empty_vault(df.sparkSession) if vault is None else vault
-        spans = blocking_spans(with_row(scanned, text_col, path_col), [*keys, ROW], options)
-        out, added = redact_spans(df, text_col, spans, keys, vault, key, options, path_col)
-        # The spans came back with the replacements, so the texts are not scanned again.
+        out, added = redact_scanned(scanned, text_col, keys, vault, key, options, path_col)
         serious = F.col("replacements")
         outgoing = F.col("redacted")
         providers = F.transform(serious, lambda r: F.struct(r["provider"].alias("provider")))

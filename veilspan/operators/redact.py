@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import empty, let
 from ..functions.predicates import has_placeholders
+from ..functions.text import hmac_sha256_hex
 from ..options import ScanOptions
-from .detect import located, worth_a_look
+from .detect import located
 from .joins import attach, cut_lineage, is_small, lookup
 from .scan import blocking, scan_df
-from .vault import allocate, named_secrets
+from .vault import FIRST_LENGTH, INNER, OUTER, allocate, stem, with_pads
 
 REPLACEMENT = "struct<start:int,end:int,value:string,rule_id:string,provider:string>"
 WARNING = "struct<kind:string,token:string,message:string>"
@@ -38,11 +39,6 @@ def attach_to_hits(df: DataFrame, extra: DataFrame, identity: Column, may_hit: C
     return moved.unionByName(df.filter(~possible), allowMissingColumns=True)
 
 
-def sound_prefilter(options: ScanOptions) -> bool:
-    """Does ``worth_a_look`` speak for all rules? User rules are unknown to it."""
-    return all(rule.implies is not None for rule in options.rules)
-
-
 def splice(text: Column, replacements: Column) -> Column:
     """Text with each span [start, end) replaced by ``value``; spans are in order and apart."""
     def pieces(reps: Column) -> Column:
@@ -59,44 +55,83 @@ def blocking_spans(scanned: DataFrame, keys: list[str], options: ScanOptions) ->
     return scanned.select(*keys, F.explode(blocking(F.col("findings"), options)).alias("f")).select(*keys, "f.*")
 
 
-def with_row(scanned: DataFrame, text_col: str, path_col: str | None = None) -> DataFrame:
-    return scanned.withColumn(ROW, row_identity(F.col(text_col), None if path_col is None else F.col(path_col)))
-
-
 def first_sightings(spans: DataFrame, keys: list[str]) -> DataFrame:
     """One row per secret, named by its first finding: row order, then last in the text first."""
     seen = F.struct(*[F.col(k) for k in keys], (-F.col("start")).alias("back"))
     return (spans.withColumnRenamed("match", "secret").groupBy("secret")
-            .agg(F.min_by(F.struct("provider", "rule_id"), seen).alias("by"), F.min(seen).alias("first_seen"))
-            .select("secret", "by.provider", "by.rule_id", "first_seen"))
-
-
-def redact_spans(df: DataFrame, text_col: str, spans: DataFrame, keys: list[str], vault: DataFrame, key: DataFrame,
-                 options: ScanOptions, path_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Splice placeholders over the given spans (with ``ROW``, see ``row_identity``); returns the frame and the new vault rows."""
-    spans = cut_lineage(spans.select(*keys, ROW, "start", "end", "match", "provider", "rule_id"))
-    added = cut_lineage(allocate(first_sightings(spans, keys), vault, key, options.prefix))
-    # Rows of one identity have the same spans: one of them stands for all.
-    own = spans.groupBy(ROW, "start").agg(F.first(F.struct("end", "match", "provider", "rule_id")).alias("s")).select(ROW, "start", "s.*")
-    named = named_secrets(own, vault, added, [ROW, "start"])
-    per_row = named.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct(
-        "start", "end", F.col("placeholder").alias("value"), "rule_id", "provider"))).alias("replacements"))
-    out = attach_to_hits(df, per_row, row_identity(F.col(text_col), None if path_col is None else F.col(path_col)),
-                         worth_a_look(F.col(text_col)) if sound_prefilter(options) else F.col(text_col).isNotNull())
-    reps = F.coalesce(F.col("replacements"), empty(REPLACEMENT))
-    return (out.withColumn("replacements", reps)
-            .withColumn("redacted", splice(F.col(text_col), F.col("replacements"))), added)
+            .agg(F.min_by(F.struct("provider", "rule_id"), seen).alias("by"), F.min(seen).alias("first_seen"),
+                 F.collect_set(F.struct("provider", "rule_id")).alias("found_by"))
+            .select("secret", "by.provider", "by.rule_id", "first_seen", "found_by"))
+
+
+def usual_lengths(names: DataFrame) -> dict[str, int]:
+    """The commonest suffix length of each stem: the number of stems is bounded by that of rules."""
+    suffix = F.substring_index("placeholder", "_", -1)
+    words = F.substring("placeholder", F.lit(1), F.length("placeholder") - F.length(suffix) - 1)
+    stems = names.groupBy(words.alias("stem"), F.length(suffix).alias("n")).count()
+    best = stems.groupBy("stem").agg(F.max_by("n", F.struct("count", -F.col("n"))).alias("n")).where(F.col("n") != FIRST_LENGTH).collect()
+    return {r["stem"]: r["n"] for r in best}
+
+
+def usual_name(finding: Column, inner_pad: Column, outer_pad: Column, lengths: dict[str, int], prefix: str) -> Column:
+    """The placeholder that a finding has unless it is an exception, from the row alone."""
+    words = stem(finding["provider"], finding["rule_id"], prefix)
+    n = F.lit(FIRST_LENGTH)
+    for name, length in sorted(lengths.items()):
+        n = F.when(words == name, length).otherwise(n)
+    return F.concat(words, F.lit("_"), F.substring(hmac_sha256_hex(finding["match"], inner_pad, outer_pad), F.lit(1), n))
+
+
+def exceptions_of(sightings: DataFrame, names: DataFrame, key: DataFrame, lengths: dict[str, int], prefix: str) -> DataFrame:
+    """(secret, placeholder) of the secrets that a finding would call otherwise: collisions, old names, names by another rule."""
+    known = lookup(sightings.select("secret", "found_by"), names.select("secret", "placeholder"), "secret", ["secret"], "inner")
+    each = with_pads(known.select("secret", "placeholder", F.explode("found_by").alias("f")), key)
+    finding = F.struct(F.col("f.provider").alias("provider"), F.col("f.rule_id").alias("rule_id"), F.col("secret").alias("match"))
+    return each.where(usual_name(finding, F.col(INNER), F.col(OUTER), lengths, prefix) != F.col("placeholder")).select("secret", "placeholder").distinct()
+
+
+def redact_scanned(scanned: DataFrame, text_col: str, keys: list[str], vault: DataFrame, key: DataFrame, options: ScanOptions,
+                   path_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Splice placeholders over the blocking findings of a scanned frame; returns the frame and the new vault rows.
+
+    First the secrets are collected, pre-aggregated, and named.  Then each row computes the names of its own findings,
+    in the stage that scans it.  Only secrets that are called otherwise, an exception each, are looked up; rows without
+    one take no part in that, and texts without findings never move.
+    """
+    sightings = cut_lineage(first_sightings(blocking_spans(scanned, keys, options), keys))
+    added = cut_lineage(allocate(sightings.drop("found_by"), vault, key, options.prefix))
+    names = vault.select("secret", "placeholder").unionByName(added.select("secret", "placeholder"))
+    lengths = usual_lengths(names)
+    odd = cut_lineage(exceptions_of(sightings, names, key, lengths, options.prefix))
+    serious = F.transform(blocking(F.col("findings"), options), lambda f: F.struct(
+        f["start"].alias("start"), f["end"].alias("end"), usual_name(f, F.col(INNER), F.col(OUTER), lengths, options.prefix).alias("value"),
+        f["rule_id"].alias("rule_id"), f["provider"].alias("provider"), f["match"].alias("match")))
+    # A generated column: names are computed once, however often they are referred to.
+    out = with_pads(scanned, key).select(*[F.col(f"`{c}`") for c in scanned.columns], F.inline(F.array(F.struct(serious.alias("_serious")))))
+    plain = F.transform("_serious", lambda r: r.dropFields("match"))
+    if odd.isEmpty():
+        out = out.withColumn("replacements", plain)
+    else:
+        identity = row_identity(F.col(text_col), None if path_col is None else F.col(path_col))
+        found = out.where(F.size("_serious") > 0).select(identity.alias(ROW), F.explode("_serious").alias("s")).select(ROW, F.col("s.start").alias("start"), F.col("s.match").alias("secret"))
+        changed = lookup(found, odd, "secret", [ROW, "start"], "inner").select(ROW, "start", "placeholder").distinct()
+        per_row = cut_lineage(changed.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("start", "placeholder"))).alias("_odd")))
+        out = attach_to_hits(out, per_row, identity, F.size("_serious") > 0)
+        named = F.transform("_serious", lambda r: r.dropFields("match").withField("value", F.coalesce(F.try_element_at("_odd", r["start"]), r["value"])))
+        out = out.withColumn("replacements", F.when(F.col("_odd").isNull(), plain).otherwise(named)).drop("_odd")
+    return (out.withColumn("replacements", F.when(F.size("replacements") > 0, F.col("replacements")).otherwise(empty(REPLACEMENT)))
+            .withColumn("redacted", splice(F.col(text_col), F.col("replacements"))).drop("_serious")), added
 
 
 def redact_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame, key: DataFrame,
               options: ScanOptions = ScanOptions(), path_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Add ``redacted`` and ``replacements``; ``keys`` fix the naming order and may be null or repeated.
 
-    The texts are scanned once.  Only the found spans are kept, matched with placeholders and
-    brought back to their rows by what the rows hold; texts in which nothing can be found are not shuffled.
+    The texts are scanned twice, for the secrets and for the masking, each time in a narrow stage: a text is never
+    written aside or shuffled unless it holds a secret with an exceptional name.
     """
-    scanned = with_row(scan_df(df, text_col, options, path_col), text_col, path_col)
-    return redact_spans(df, text_col, blocking_spans(scanned, [*keys, ROW], options), keys, vault, key, options, path_col)
+    out, added = redact_scanned(scan_df(df, text_col, options, path_col), text_col, keys, vault, key, options, path_col)
+    return out.drop("findings", "suppressed"), added
 
 
 # --- restoring ---------------------------------------------------------------------------
@@ -172,4 +207,4 @@ def rehydrate_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame
 
 
 __all__ = ["ROW", "attach_to_hits", "blocking_spans", "classified_tokens", "first_sightings", "placeholder_tokens", "redact_df",
-           "redact_spans", "rehydrate_df", "resembles", "row_identity", "splice", "with_row"]
+           "redact_scanned", "rehydrate_df", "resembles", "row_identity", "splice"]

@@ -8,11 +8,12 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import hmac_sha256_hex, key_pads
-from .joins import cut_lineage, lookup
+from .joins import cut_lineage
 
 VAULT = "placeholder string, secret string, at timestamp"
 TTL = timedelta(hours=12)
 FIRST_LENGTH, STEP, LAST_LENGTH = 4, 2, 64
+INNER, OUTER = "_veil_inner", "_veil_outer"
 
 # The kind named in a placeholder, by the first pattern found in the rule id.
 KINDS = (
@@ -68,11 +69,16 @@ def refreshed(vault: DataFrame, added: DataFrame, now: Column) -> DataFrame:
     return vault.select("placeholder", "secret").unionByName(added.select("placeholder", "secret")).withColumn("at", now)
 
 
+def with_pads(df: DataFrame, key: DataFrame) -> DataFrame:
+    """Add the key blocks as ``INNER`` and ``OUTER``; the key frame has one row."""
+    pads = key.select(F.col("key_id").alias("_veil_key"), F.col("inner_pad").alias(INNER), F.col("outer_pad").alias(OUTER))
+    return df.withColumn("_veil_key", F.lit(0)).join(F.broadcast(pads), "_veil_key").drop("_veil_key")
+
+
 def digests(new_secrets: DataFrame, key: DataFrame) -> DataFrame:
-    """Add ``digest``, the keyed digest of ``secret``; the key frame has one row."""
-    return (new_secrets.withColumn("key_id", F.lit(0)).join(F.broadcast(key), "key_id")
-            .withColumn("digest", hmac_sha256_hex(F.col("secret"), F.col("inner_pad"), F.col("outer_pad")))
-            .drop("key_id", "inner_pad", "outer_pad"))
+    """Add ``digest``, the keyed digest of ``secret``."""
+    return (with_pads(new_secrets, key).withColumn("digest", hmac_sha256_hex(F.col("secret"), F.col(INNER), F.col(OUTER)))
+            .drop(INNER, OUTER))
 
 
 def allocate(new_secrets: DataFrame, vault: DataFrame, key: DataFrame, prefix: str) -> DataFrame:
@@ -100,12 +106,6 @@ def allocate(new_secrets: DataFrame, vault: DataFrame, key: DataFrame, prefix: s
     raise ValueError("no free placeholder left for a secret")
 
 
-def named_secrets(spans: DataFrame, vault: DataFrame, added: DataFrame, spread_by: list[str]) -> DataFrame:
-    """Spans (with ``match``) plus the placeholder of their secret."""
-    names = vault.select("secret", "placeholder").unionByName(added.select("secret", "placeholder"))
-    return lookup(spans.withColumn("secret", F.col("match")), names, "secret", spread_by)
-
-
 def _versions(spark: SparkSession, path: str):
     """Hadoop file system and the numbers of the complete versions under ``path``."""
     jvm = spark.sparkContext._jvm

@@ -97,6 +97,26 @@ def redacted_documents(spark, sf_dir):
     return out.select("doc_id", F.sha2("redacted", 256).alias("digest"), F.size("replacements").alias("replaced"))
 
 
+# Keys as careless writers leave them: missing, or shared by many rows.
+ODD_KEY_SQL = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN doc_id % 10 ELSE doc_id END"
+
+
+def masking_odd_keys(spark, sf_dir):
+    """Rows with null and repeated keys, some of whose secrets the vault knows by names of its own: each is masked as its own text asks."""
+    docs = _texts(spark, sf_dir).withColumn("k", F.expr(ODD_KEY_SQL))
+    known = _sightings(spark, sf_dir).where(F.substring(F.sha2("secret", 256), 1, 1) == "7")
+    names = F.concat(F.lit("MASKED_KNOWN_KEY_"), F.substring(F.sha2("secret", 256), 1, 12))
+    vault = known.select(names.alias("placeholder"), "secret", F.lit("2024-01-01").cast("timestamp").alias("at"))
+    out, _ = redact_df(docs, "text", ["k"], vault, _key(spark))
+    return out.select("doc_id", F.sha2("redacted", 256).alias("digest"), F.size("replacements").alias("replaced"))
+
+
+ODD_KEYS = (f"WITH {SERIOUS.replace('serious AS', 'all_serious AS')}, serious AS (SELECT *, coalesce({ODD_KEY_SQL}, -1) AS k FROM all_serious WHERE substring(sha256(match), 1, 1) <> '7'), "
+            f"{vault_sql('k').replace('spans AS', 'own_spans AS')}, spans AS (SELECT doc_id, start_at, end_at, placeholder FROM own_spans UNION ALL "
+            "SELECT doc_id, start_at, end_at, 'MASKED_KNOWN_KEY_' || substring(sha256(match), 1, 12) FROM all_serious WHERE substring(sha256(match), 1, 1) = '7'), "
+            f"{spliced_sql()} SELECT doc_id, sha256(text) AS digest, n AS replaced FROM redacted")
+
+
 REDACTED = f"WITH {SERIOUS}, {vault_sql()}, {spliced_sql()} "
 
 
@@ -256,6 +276,7 @@ QUERIES = {
     "placeholder_stems": (placeholder_stems, f"WITH {SERIOUS}, {vault_sql()} SELECT {fp('secret')} AS fingerprint, {duck.kind('rule_id')} AS kind, stem FROM digested"),
     "known_secrets_kept": (known_secrets_kept, KNOWN_SECRETS),
     "redacted_documents": (redacted_documents, REDACTED + "SELECT doc_id, sha256(text) AS digest, n AS replaced FROM redacted"),
+    "masking_odd_keys": (masking_odd_keys, ODD_KEYS),
     "roundtrip_mismatches": (roundtrip_mismatches, ROUNDTRIP),
     "rescan_of_redacted": (rescan_of_redacted, "SELECT 0 AS findings"),
     "rehydrate_warnings": (rehydrate_warnings, BENT + " SELECT doc_id, len(list_aggregate(list_slice(regexp_split_to_array(text, 'MASKED_[A-Za-z0-9_]*'), 1, i), 'string_agg', '')) "
