@@ -10,6 +10,7 @@ from ..functions.text import hmac_sha256_hex
 from ..options import ScanOptions
 from .detect import located
 from .joins import attach, cut_lineage, is_small, lookup
+from .prefixes import near_names
 from .scan import blocking, scan_df
 from .vault import FIRST_LENGTH, INNER, OUTER, allocate, stem, with_pads
 
@@ -146,32 +147,16 @@ def placeholder_tokens(df: DataFrame, text_col: str, keys: list[str], options: S
                     F.col("m.whole").alias("token")))
 
 
-def resembles(tokens: DataFrame, vault: DataFrame, options: ScanOptions) -> DataFrame:
-    """The distinct tokens that extend, or are the beginning of, an issued placeholder.
+def resembles(tokens: DataFrame, vault: DataFrame) -> DataFrame:
+    """The distinct tokens that extend, or are the beginning of, an issued placeholder."""
+    return near_names(tokens.select(F.col("token").alias("text")), vault.select(F.col("placeholder").alias("name"))).select(F.col("text").alias("token"))
 
-    Both directions are equality joins on prefixes.  Prefixes of a token are tried only up to
-    the longest placeholder, so a very long token costs no more than that.
-    """
-    shortest = len(options.prefix) + 1
-    longest = vault.agg(F.max(F.length("placeholder"))).first()[0]
-    if longest is None:
-        return tokens.select("token").limit(0)
-    distinct = tokens.select("token").distinct()
-    heads = distinct.select("token", F.explode(F.sequence(
-        F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.length("token"), F.lit(longest))))).alias("n"))
-    extended = (heads.select("token", F.substring("token", F.lit(1), F.col("n")).alias("placeholder"))
-                .join(vault.select("placeholder"), "placeholder", "left_semi").select("token"))
-    starts = vault.select(F.explode(F.transform(
-        F.sequence(F.lit(shortest), F.length("placeholder")),
-        lambda n: F.substring("placeholder", F.lit(1), n))).alias("token")).distinct()
-    return extended.unionByName(distinct.join(starts, "token", "left_semi")).distinct()
-
-
-def classified_tokens(tokens: DataFrame, vault: DataFrame, keys: list[str], options: ScanOptions) -> DataFrame:
+
+def classified_tokens(tokens: DataFrame, vault: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``secret`` and ``kind``: exact, mangled or unknown."""
     known = vault.select(F.col("placeholder").alias("token"), "secret")
     joined = lookup(tokens, known, "token", [*keys, "start"])
-    near = resembles(joined.filter(F.col("secret").isNull()), vault, options).withColumn("near", F.lit(True))
+    near = resembles(joined.filter(F.col("secret").isNull()), vault).withColumn("near", F.lit(True))
     return (lookup(joined, near, "token", [*keys, "start"])
             .withColumn("kind", F.when(F.col("secret").isNotNull(), "exact")
                         .when(F.col("near"), "mangled").otherwise("unknown")).drop("near"))
@@ -192,7 +177,7 @@ def rehydrate_df(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame
     """
     marked = df.withColumn(ROW, row_identity(F.col(text_col)))
     tokens = cut_lineage(placeholder_tokens(marked, text_col, [ROW], options).distinct())
-    kinds = classified_tokens(tokens, vault, [ROW], options)
+    kinds = classified_tokens(tokens, vault, [ROW])
     per_row = kinds.groupBy(ROW).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "token", "secret", "kind"))).alias("_tokens"))
     exact = F.transform(F.filter("_tokens", lambda t: t["kind"] == "exact"), lambda t: F.struct(

@@ -12,7 +12,7 @@ from ..operators.lock import lock_files, unlock_files
 from ..operators.nested import redact_json, redact_nested
 from ..operators.policy import decide_results
 from ..operators.redact import (blocking_spans, classified_tokens, first_sightings, placeholder_tokens, redact_df,
-                                rehydrate_df)
+                                rehydrate_df, resembles)
 from ..operators.scan import scan_df
 from ..options import ScanOptions
 from ..sources.messages import guard_messages
@@ -152,10 +152,33 @@ def _bent(spark, sf_dir):
 
 def rehydrate_warnings(spark, sf_dir):
     texts, vault = _bent(spark, sf_dir)
-    kinds = classified_tokens(placeholder_tokens(texts, "text", ["doc_id"], DEFAULT), vault, ["doc_id"], DEFAULT)
+    kinds = classified_tokens(placeholder_tokens(texts, "text", ["doc_id"], DEFAULT), vault, ["doc_id"])
     return kinds.select("doc_id", F.col("start").alias("start_at"), "token", "kind")
 
 
+# Names and tokens of one stem, from the order lines: digests cut at several places.
+LINE_DIGEST = "upper(sha2(CAST(l_orderkey * 8 + l_linenumber AS STRING), 256))"
+LINE_ID = "(l_orderkey * 8 + l_linenumber)"
+STEM_NAME = "'MASKED_NPM_TOKEN_' || substring(d, 1, CAST(4 + 2 * (id % 4) AS INT))"
+STEM_TOKEN = ("CASE id % 5 WHEN 0 THEN 'MASKED_NPM_TOKEN_' || substring(d, 1, 3) WHEN 1 THEN 'MASKED_NPM_TOKEN_' || substring(d, 1, 12) "
+              "WHEN 2 THEN 'MASKED_NPM_TOKEN_' || substring(d, 1, 5) WHEN 3 THEN 'MASKED_NPM_' || substring(d, 1, 9) ELSE 'MASKED_NPM_TOKEN_' || substring(d, 3, 10) END")
+
+
+def tokens_of_one_stem(spark, sf_dir):
+    """Every order line brings a token of one stem, every third one a name of that stem: which tokens resemble a name."""
+    lines = table(spark, sf_dir, "lineitem").select(F.expr(LINE_ID).alias("id"), F.expr(LINE_DIGEST).alias("d"))
+    names = lines.where("id % 3 = 0").select(F.expr(STEM_NAME).alias("placeholder"))
+    tokens = lines.select(F.expr(STEM_TOKEN).alias("token")).distinct()
+    near = resembles(tokens, names).withColumn("near", F.lit(True))
+    return tokens.join(near, "token", "left").select("token", F.coalesce("near", F.lit(False)).alias("near"))
+
+
+ONE_STEM = (f"WITH l AS (SELECT {LINE_ID} AS id, upper(sha256(CAST({LINE_ID} AS VARCHAR))) AS d FROM lineitem), n AS (SELECT DISTINCT {STEM_NAME} AS name FROM l WHERE id % 3 = 0), "
+            f"t AS (SELECT DISTINCT {STEM_TOKEN} AS token FROM l), a AS (SELECT DISTINCT substring(name, 1, k) AS head FROM n, range(1, 40) r(k)), "
+            "b AS (SELECT token, substring(token, 1, k) AS head FROM t, range(1, 40) r(k)) "
+            "SELECT token, token IN (SELECT head FROM a) OR token IN (SELECT token FROM b JOIN n ON n.name = b.head) AS near FROM t")
+
+
 def rehydrate_counts(spark, sf_dir):
     """Substitutions and warnings per text."""
     texts, vault = _bent(spark, sf_dir)
@@ -283,6 +306,7 @@ QUERIES = {
                            "+ len(list_aggregate(list_slice(regexp_extract_all(text, 'MASKED_[A-Za-z0-9_]*'), 1, i), 'string_agg', '')) - len(token) AS start_at, token, kind FROM kinds"),
     "rehydrate_counts": (rehydrate_counts, BENT + " SELECT b.doc_id, count(*) FILTER (kind = 'exact') AS substituted, "
                          "count(*) FILTER (kind <> 'exact') AS warnings FROM bent b LEFT JOIN kinds k USING (doc_id) GROUP BY b.doc_id"),
+    "tokens_of_one_stem": (tokens_of_one_stem, ONE_STEM),
     "tool_results": (tool_results, BENT + ", per AS (SELECT b.doc_id, count(*) FILTER (kind = 'exact') AS substituted, count(*) FILTER (kind <> 'exact') AS warnings "
                      "FROM bent b LEFT JOIN kinds k USING (doc_id) GROUP BY b.doc_id) SELECT doc_id, substituted, CASE WHEN warnings > 0 THEN 'warning' "
                      "WHEN substituted > 0 THEN 'restored ' || substituted || ' value(s)' END AS context FROM per"),
