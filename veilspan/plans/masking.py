@@ -294,6 +294,21 @@ MESSAGES = (f"WITH {PROMPT_SERIOUS}, {vault_sql('row_id')}, {spliced_sql('row_id
             "CASE WHEN role <> 'system' THEN 'tools/call' END AS method, CASE WHEN role <> 'system' THEN row_id END AS id, "
             "CASE WHEN role <> 'system' THEN sha256(r.text) END AS text FROM docs d JOIN redacted r USING (row_id)")
 
+# Lines that strict readers refuse: a member named twice, and text that is no message at all.
+def message_odd_lines(spark, sf_dir):
+    """Turns as messages that name a member twice, and as log lines: credentials go out in neither."""
+    turns = with_prompt_samples(table(spark, sf_dir, "conversations")).withColumn("text", F.coalesce("text", F.lit("")))
+    twice = F.concat(F.lit('{"method":"m","params":{"a":"q","a":'), F.get_json_object(F.to_json(F.struct("text")), "$"), F.lit("}}"))
+    twice = F.regexp_replace(twice, r'"a":\{"text":(.*)\}\}\}\z', '"a":$1}}')
+    lines = turns.select("row_id", "text", F.when(F.col("row_id") % 2 == 0, twice).otherwise(F.concat(F.lit("log: "), "text")).alias("value"))
+    out, _ = guard_messages(lines, ["row_id"], "request", V.empty_vault(spark), _key(spark))
+    return out.select("row_id", "parsed", "redactions", F.when(~F.col("parsed"), F.sha2("outgoing", 256)).alias("digest"),
+                      (F.col("outgoing") == F.col("value")).alias("unchanged"))
+
+
+ODD_LINES = (f"WITH {PROMPT_SERIOUS}, {vault_sql('row_id')}, {spliced_sql('row_id')} SELECT row_id, row_id % 2 = 0 AS parsed, n AS redactions, "
+             "CASE WHEN row_id % 2 = 1 THEN sha256('log: ' || coalesce(r.text, '')) END AS digest, n = 0 AS unchanged FROM redacted r")
+
 QUERIES = {
     "placeholders": (placeholders, f"WITH {SERIOUS}, {vault_sql()} SELECT placeholder, {fp('secret')} AS fingerprint FROM vault"),
     "placeholder_stems": (placeholder_stems, f"WITH {SERIOUS}, {vault_sql()} SELECT {fp('secret')} AS fingerprint, {duck.kind('rule_id')} AS kind, stem FROM digested"),
@@ -316,4 +331,5 @@ QUERIES = {
     "json_leaf_redaction": (json_leaf_redaction, JSON_LEAVES),
     "nested_redaction": (nested_redaction, REDACTED + "SELECT doc_id, n AS redactions, sha256(r.text) AS digest, source, doc_id AS number FROM redacted r JOIN docs d USING (doc_id)"),
     "message_guard": (message_guard, MESSAGES),
+    "message_odd_lines": (message_odd_lines, ODD_LINES),
 }

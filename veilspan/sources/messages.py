@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import strict_json
-from ..operators.nested import redact_json
+from ..operators.nested import json_leaves, redact_json
 from ..operators.policy import PATH_FIELDS, command_text
 from ..options import ScanOptions
 
@@ -16,23 +16,27 @@ RESPONSE_NAMES = ("tool_response", "toolResponse", "tool_output", "output")
 
 
 def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Drop blank lines and tell messages from other lines (``parsed``)."""
-    parsed = strict_json(F.col(value))
-    return (lines.filter(F.trim(F.col(value)) != "")
-            .withColumn("parsed", parsed.isNotNull())
-            .withColumn("method", F.try_variant_get(parsed, "$.method", "string")))
+    """Drop blank lines and tell messages from other lines (``parsed``).
+
+    A message may name a member twice, which the engine's own parser refuses.
+    """
+    lines = lines.filter(F.trim(F.col(value)) != "").select("*", F.inline(F.array(F.struct(strict_json(F.col(value)).alias("_json")))))
+    odd = json_leaves(F.when(F.col("_json").isNull(), F.col(value)))
+    parsed = lines.withColumn("parsed", F.col("_json").isNotNull() | odd.isNotNull())
+    method = F.coalesce(F.try_variant_get("_json", "$.method", "string"), F.when(F.col("_json").isNull() & F.col("parsed"), F.get_json_object(value, "$.method")))
+    return parsed.withColumn("method", method).drop("_json")
 
 
 def guard_messages(lines: DataFrame, keys: list[str], direction: str, vault: DataFrame, key: DataFrame,
                    options: ScanOptions = ScanOptions(), value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Mask the strings of ``params`` (direction "request") or ``result`` ("response").
 
-    Adds ``outgoing`` and ``redactions``.  A message without credentials goes out as it came.
+    Adds ``outgoing`` and ``redactions``.  A message without credentials goes out as it came.  A line that
+    is no message is masked as a text: what its reader would make of it is unknown.
     """
     part = {"request": "params", "response": "result"}[direction]
-    # A line that does not parse is not looked into and passes on.
-    messages = parse_messages(lines, value).withColumn("_message", F.when(F.col("parsed"), F.col(value)))
-    masked, added = redact_json(messages, "_message", keys, vault, key, options, part)
+    messages = parse_messages(lines, value).withColumn("_message", F.col(value))
+    masked, added = redact_json(messages, "_message", keys, vault, key, options, part, plain=True)
     out = masked.withColumn("outgoing", F.coalesce("_message", value))
     return out.select(*lines.columns, "method", "parsed", "outgoing", "redactions"), added
 
