@@ -9,7 +9,7 @@ from ..functions.text import line_after, line_before, line_number
 from ..options import ScanOptions
 from .detect import located
 from .joins import attach, cut_lineage, lookup, rank_within
-from .redact import REPLACEMENT, blocking_spans, splice
+from .redact import REPLACEMENT, ROW, blocking_spans, row_identity, splice
 from .scan import scan_df
 
 # ---------------------------------------------------------------------------
@@ -154,10 +154,11 @@ def plan_fixes(df: DataFrame, env: DataFrame, options: ScanOptions = ScanOptions
     """Plan for source files (path, text).
 
     ``edits``: path, line, name, value, replacement.  ``manual``: path, line, reason.
-    ``skipped``: path, reason.  ``files``: path, text, updated.  ``names``: value, name.
+    ``skipped``: path, reason.  ``files``: path, text, updated.  ``names``: value, name.  A path may be missing (such files
+    are skipped) or shared by several rows: each file gets the edits of its own text.
     """
-    scanned = scan_df(df, "text", options, "path")
-    spans = blocking_spans(scanned.withColumn("language", language_of(F.col("path"))), ["path", "text", "language"], options)
+    scanned = scan_df(df, "text", options, "path").withColumn(ROW, row_identity(F.col("text"), F.col("path")))
+    spans = blocking_spans(scanned.withColumn("language", language_of(F.col("path"))), ["path", "text", "language", ROW], options)
     skipped = (spans.filter(F.col("language") == "unknown").select("path").distinct()
                .withColumn("reason", F.lit(UNSUPPORTED)))
     text = F.col("text")
@@ -168,7 +169,7 @@ def plan_fixes(df: DataFrame, env: DataFrame, options: ScanOptions = ScanOptions
               .withColumn("base", base_name(line_before(text, F.col("literal.start")), F.col("provider"), F.col("rule_id"), options.prefix))
               .withColumn("reason", F.when(F.col("literal").isNull(), NO_LITERAL)
                           .when((F.col("literal.quote") == "`") & F.contains("contents", F.lit("${")), INTERPOLATED))
-              .select("path", "language", "start", "line", "literal", "contents", "base", "reason"))
+              .select("path", ROW, "language", "start", "line", "literal", "contents", "base", "reason"))
     placed = cut_lineage(placed)
     manual = placed.filter(F.col("reason").isNotNull()).select("path", "line", "reason")
 
@@ -182,12 +183,12 @@ def plan_fixes(df: DataFrame, env: DataFrame, options: ScanOptions = ScanOptions
 
     edits = (lookup(movable, names, "value", ["path", "start"])
              .withColumn("replacement", env_lookup(F.col("language"), F.col("name"))))
-    reps = edits.groupBy("path").agg(F.array_sort(F.collect_set(F.struct(
+    reps = edits.groupBy(ROW).agg(F.array_sort(F.collect_set(F.struct(
         F.col("literal.start").alias("start"), F.col("literal.end").alias("end"),
         F.col("replacement").alias("value"), F.lit("").alias("rule_id"), F.lit("").alias("provider")))).alias("reps"))
-    files = (attach(df.select("path", "text"), reps, ["path"])
+    files = (attach(df.select("path", "text", row_identity(text, F.col("path")).alias(ROW)), reps, [ROW])
              .withColumn("updated", splice(text, F.coalesce("reps", F.array().cast(f"array<{REPLACEMENT}>"))))
-             .drop("reps"))
+             .drop("reps", ROW))
     return {"edits": edits.select("path", "line", "name", "value", "replacement"), "manual": manual,
             "skipped": skipped, "files": files, "names": names, "added": added}
 
