@@ -252,6 +252,13 @@ LOOKUP = ("CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'process.
           "WHEN 'sh' THEN '\"$' || name || '\"' END")
 
 
+# Literals, quotes included, replaced by lookups.
+FIXED_FILES = f"""WITH {FIX_CTES},
+spans AS (SELECT DISTINCT doc_id, start_at - len(regexp_extract(before, '"([^"]*)$', 1)) - 1 AS start_at, end_at + len(regexp_extract(after, '^([^"]*)"', 1)) + 1 AS end_at,
+  {LOOKUP} AS placeholder FROM based JOIN known USING (value)),
+{spliced_sql()} SELECT path, sha256(r.text) AS digest, n > 0 AS changed FROM redacted r JOIN docs USING (doc_id)"""
+
+
 # --- streams -----------------------------------------------------------------------------
 
 def _new_folder(spark) -> str:
@@ -393,7 +400,7 @@ QUERIES = {
     "env_lines": (env_lines, f"WITH {FIX_CTES} SELECT name, name || '=' AS example_line, sha256(name || '=' || value) AS env_line FROM names"),
     "fix_plan": (fix_plan, f"WITH {FIX_CTES} SELECT path, line, name, {LOOKUP} AS replacement FROM based JOIN known USING (value)"),
     "fix_manual": (fix_manual, f"WITH {FIX_CTES} SELECT path, line, 'not inside a string literal' AS reason FROM spots WHERE contains(match, chr(10)) OR (len(before) - len(replace(before, '\"', ''))) % 2 = 0"),
-    "fixed_files": (fixed_files, None),
+    "fixed_files": (fixed_files, FIXED_FILES),
     "stream_redact": (stream_redact, STREAM_REDACT),
     "stream_heartbeat": (stream_heartbeat, HEARTBEAT),
     "stream_decisions": (stream_decisions, STREAM_DECISIONS),
