@@ -184,6 +184,24 @@ def test_hot_line_over_many_partitions(spark):
     assert bits.tolist() == [0, 1] and maps[0]["n_lines"] == 2
 
 
+def test_a_hot_line_is_split_where_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "is_small", lambda *a, **k: False)
+    marked = spark.range(4000).select(F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"), F.col("id").alias("doc_id"))
+    stats = spark.createDataFrame([(1, 2, 4000, 3999)], "h1 long, h2 long, n long, top long")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        late = line_dedup._with_stats(marked, stats)
+        assert late.columns == ["h1", "h2", "doc_id", "n", "top"] and late.count() == 4000
+        sizes = [r["count"] for r in late.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert len(sizes) > 5 and max(sizes) < 1500  # 16 salts over 16 partitions
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_bitmaps(documents(spark, [])).count() == 0
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
