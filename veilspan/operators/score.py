@@ -15,31 +15,41 @@ def covers(hit: Column, expected: Column) -> Column:
     return F.contains(hit, expected) | F.contains(expected, hit)
 
 
-def positive_counts(df: DataFrame, hits: str, expected: str) -> DataFrame:
-    """One expected secret per row: tp or fn, and every hit beside it a fp when it was found."""
+def positive_counts(df: DataFrame, hits: str, expected: str, besides: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One expected secret per row: tp or fn, and every hit beside it a fp when it was found.
+
+    ``besides`` names an array of further credentials of the row, which are no false hits.
+    """
     covered = F.exists(hits, lambda h: covers(h, F.col(expected)))
-    extra = F.size(F.filter(hits, lambda h: ~covers(h, F.col(expected))))
-    return df.select(covered.cast("bigint").alias("tp"), F.when(covered, extra).otherwise(0).cast("bigint").alias("fp"),
+    known = F.array(expected) if besides is None else F.concat(F.array(expected), F.col(besides))
+    extra = F.size(F.filter(hits, lambda h: ~F.exists(known, lambda e: covers(h, e))))
+    return df.select(*keep, covered.cast("bigint").alias("tp"), F.when(covered, extra).otherwise(0).cast("bigint").alias("fp"),
                      (~covered).cast("bigint").alias("fn"))
 
 
-def negative_counts(df: DataFrame, hits: str) -> DataFrame:
+def found_counts(df: DataFrame, hits: str, expected: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Several expected secrets per row, found or not; other hits are counted elsewhere."""
+    found = F.size(F.filter(expected, lambda e: F.exists(hits, lambda h: covers(h, e)))).cast("bigint")
+    return df.select(*keep, found.alias("tp"), F.lit(0).cast("bigint").alias("fp"), (F.size(expected) - found).cast("bigint").alias("fn"))
+
+
+def negative_counts(df: DataFrame, hits: str, keep: tuple[str, ...] = ()) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    return df.select(zero.alias("tp"), F.size(hits).cast("bigint").alias("fp"), zero.alias("fn"))
+    return df.select(*keep, zero.alias("tp"), F.size(hits).cast("bigint").alias("fp"), zero.alias("fn"))
 
 
-def mixed_counts(df: DataFrame, hits: str, expected: str) -> DataFrame:
-    """Several expected secrets per row; a hit is extra unless it is the first cover of one."""
+def mixed_counts(df: DataFrame, hits: str, expected: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Several expected secrets per row, which claim the first hit that covers them; a hit that none claims is extra."""
     claimed = F.transform(F.col(expected), lambda e: F.get(F.filter(hits, lambda h: covers(h, e)), F.lit(0)))
     found = F.size(F.array_compact(claimed))
     extra = F.size(F.filter(hits, lambda h: ~F.coalesce(F.array_contains(F.array_compact(claimed), h), F.lit(False))))
-    return df.select(found.cast("bigint").alias("tp"), extra.cast("bigint").alias("fp"),
+    return df.select(*keep, found.cast("bigint").alias("tp"), extra.cast("bigint").alias("fp"),
                      (F.size(expected) - found).cast("bigint").alias("fn"))
 
 
-def scores(counts: DataFrame) -> DataFrame:
-    """Totals with precision, recall and F1; an empty denominator gives 1, 1 and 0."""
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+def scores(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Totals, for each group of ``by``, with precision, recall and F1; an empty denominator gives 1, 1 and 0."""
+    sums = counts.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
 
     def ratio(part: Column, whole: Column, empty: float) -> Column:
         return F.when(whole == 0, F.lit(empty)).otherwise(part / whole)

@@ -15,7 +15,8 @@ from ..rules.catalogue import BUILTIN, Rule
 from ..rules.table import rules_df
 from ..sources.files import staged
 from . import duck
-from .inputs import PRAGMA_SQL, labelled, labelled_sql, plain_sql, table
+from ..sources.samples import look_alike_sql
+from .inputs import PRAGMA_SQL, evaluated, evaluated_sql, labelled, labelled_sql, plain_sql, table
 
 SALT = "0123456789abcdef"
 DEFAULT = ScanOptions()
@@ -320,25 +321,65 @@ STAGED = f"WITH {SERIOUS} SELECT path, line, rule_id, provider FROM serious WHER
 
 # --- scoring -----------------------------------------------------------------------------
 
+KINDS = ("kind",)
+
+
 def _counts(spark, sf_dir):
+    """Counts per text and kind; a document counts twice, with its sample and with what it holds of itself."""
     hits = F.transform(blocking(F.col("findings"), DEFAULT), lambda f: f["match"])
-    positive = scan_df(labelled(spark, sf_dir).select("text", "expected_secret"), "text").withColumn("hits", hits)
-    negative = scan_df(table(spark, sf_dir, "benchmark").select("text"), "text").withColumn("hits", hits)
-    return S.positive_counts(positive, "hits", "expected_secret").unionByName(S.negative_counts(negative, "hits"))
+    positive, negative, mixed = [scan_df(t, "text").withColumn("hits", hits).drop("text", "findings", "suppressed") for t in evaluated(spark, sf_dir)]
+    # Scanned once, counted twice.
+    twice = positive.select("*", F.explode(F.array(F.lit("sample"), F.lit("own"))).alias("kind"))
+    return (S.positive_counts(twice.where("kind = 'sample'"), "hits", "expected_secret", "own", KINDS)
+            .unionByName(S.found_counts(twice.where("kind = 'own'"), "hits", "own", KINDS))
+            .unionByName(S.negative_counts(negative.withColumn("kind", F.lit("look-alike")), "hits", KINDS))
+            .unionByName(S.mixed_counts(mixed.withColumn("kind", F.lit("message")), "hits", "expected_secrets", KINDS)))
+
+
+def _rounded(score, *by):
+    return score.select(*by, *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")],
+                        *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def detection_scores(spark, sf_dir):
-    return S.scores(_counts(spark, sf_dir)).select(
-        *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")],
-        *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    return _rounded(S.scores(_counts(spark, sf_dir)))
+
+
+def detection_scores_by_kind(spark, sf_dir):
+    return _rounded(S.scores(_counts(spark, sf_dir), KINDS), "kind")
+
+
+SCORES = f"""{evaluated_sql()}, {duck.findings('docs', key='id')},
+hit AS (SELECT id, list(match ORDER BY start_at) AS hits FROM findings WHERE serious GROUP BY id),
+per AS (SELECT kind, expected, own, coalesce(hits, CAST([] AS VARCHAR[])) AS hits FROM docs LEFT JOIN hit USING (id)),
+claims AS (SELECT *, list_filter(list_transform(expected, lambda e: list_filter(hits, lambda h: contains(h, e) OR contains(e, h))[1]), lambda c: c IS NOT NULL) AS claimed FROM per),
+counts AS (
+  SELECT kind, len(claimed) AS tp, CASE WHEN len(claimed) = 0 THEN 0 ELSE len(list_filter(hits, lambda h: len(list_filter(list_concat(expected, own),
+    lambda e: contains(h, e) OR contains(e, h))) = 0)) END AS fp, len(expected) - len(claimed) AS fn FROM claims WHERE kind = 'sample'
+  UNION ALL SELECT 'own', len(list_filter(own, lambda e: len(list_filter(hits, lambda h: contains(h, e) OR contains(e, h))) > 0)) AS found, 0, len(own) - found
+    FROM claims WHERE kind = 'sample'
+  UNION ALL SELECT kind, len(claimed), len(list_filter(hits, lambda h: NOT list_contains(claimed, h))), len(expected) - len(claimed) FROM claims WHERE kind <> 'sample'),
+sums AS (SELECT kind, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn
+  FROM counts GROUP BY GROUPING SETS ((kind), ())),
+score AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS r FROM sums)"""
+RATED = "tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM score"
+DETECTION_SCORES = f"WITH {SCORES} SELECT {RATED} WHERE kind IS NULL"
+DETECTION_SCORES_BY_KIND = f"WITH {SCORES} SELECT kind, {RATED} WHERE kind IS NOT NULL"
+
+
+def look_alike_hits(spark, sf_dir):
+    """Findings in texts that hold none of their own, by what looks like a credential there and how it was judged."""
+    negative = evaluated(spark, sf_dir)[1]
+    rows = scan_df(negative, "text").drop("text").withColumn("active", F.size("findings")).withColumn("serious", F.size(blocking(F.col("findings"), DEFAULT)))
+    return rows.groupBy("look_alike").agg(F.count("*").alias("texts"), *[F.sum(c).alias(c) for c in ("active", "serious")], F.sum(F.size("suppressed")).alias("suppressed"))
 
 
-SCORES = f"""{SERIOUS}, per AS (SELECT d.doc_id, bool_or(contains(s.match, d.expected_secret) OR contains(d.expected_secret, s.match)) AS hit,
-  count(*) FILTER (NOT (contains(s.match, d.expected_secret) OR contains(d.expected_secret, s.match))) AS extra
-  FROM docs d LEFT JOIN serious s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
-n AS (SELECT count(*) FILTER (hit) AS tp, CAST(coalesce(sum(extra) FILTER (hit), 0) AS BIGINT) AS fp, count(*) FILTER (NOT coalesce(hit, FALSE)) AS fn FROM per),
-score AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM n)"""
-DETECTION_SCORES = f"WITH {SCORES} SELECT tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM score"
+LOOK_ALIKE_HITS = f"""WITH turns AS (SELECT *, conv_id * 1000 + turn AS row_id FROM conversations WHERE role IS DISTINCT FROM 'user'),
+docs AS (SELECT row_id, {look_alike_sql('row_id', 'duckdb')['kind']} AS look_alike, text || chr(10) || {look_alike_sql('row_id', 'duckdb')['text']} AS text FROM turns),
+{duck.findings('docs', key='row_id')},
+per AS (SELECT row_id, count(*) FILTER (status = 'active') AS a, count(*) FILTER (serious) AS b, count(*) FILTER (status = 'suppressed') AS s FROM findings GROUP BY 1)
+SELECT look_alike, count(*) AS texts, CAST(coalesce(sum(a), 0) AS BIGINT) AS active, CAST(coalesce(sum(b), 0) AS BIGINT) AS serious,
+  CAST(coalesce(sum(s), 0) AS BIGINT) AS suppressed FROM docs LEFT JOIN per USING (row_id) GROUP BY 1"""
 
 
 def score_gates(spark, sf_dir):
@@ -347,7 +388,8 @@ def score_gates(spark, sf_dir):
     return S.gates(metrics).select("metric", "passed")
 
 
-SCORE_GATES = f"WITH {SCORES} SELECT 'precision' AS metric, p >= 0.98 AS passed FROM score UNION ALL SELECT 'recall', r >= 0.90 FROM score"
+SCORE_GATES = (f"WITH {SCORES} SELECT 'precision' AS metric, p >= 0.98 AS passed FROM score WHERE kind IS NULL "
+               "UNION ALL SELECT 'recall', r >= 0.90 FROM score WHERE kind IS NULL")
 
 
 def latency_percentiles(spark, sf_dir):
@@ -393,6 +435,8 @@ QUERIES = {
     "store_exposure": (store_exposure, STORE_EXPOSURE),
     "staged_findings": (staged_findings, STAGED),
     "detection_scores": (detection_scores, DETECTION_SCORES),
+    "detection_scores_by_kind": (detection_scores_by_kind, DETECTION_SCORES_BY_KIND),
+    "look_alike_hits": (look_alike_hits, LOOK_ALIKE_HITS),
     "score_gates": (score_gates, SCORE_GATES),
     "latency_percentiles": (latency_percentiles, LATENCY),
 }

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.samples import sample_sql, with_samples
+from ..sources.samples import look_alike_sql, mixed_sql, sample_sql, with_look_alikes, with_messages, with_samples
 
 # A path per document: some are tests, vendored code or secrets files.
 PATH_SQL = ("source || CASE doc_id % 6 WHEN 0 THEN '/tests/' WHEN 1 THEN '/vendor/lib/' WHEN 2 THEN '/config/' "
@@ -54,3 +54,30 @@ def prompts_sql() -> str:
     return (f"docs AS (SELECT row_id, conv_id, turn, role, CASE role WHEN 'user' THEN text || chr(10) || ({sql['sample']}) "
             f"ELSE text END AS text FROM (SELECT *, {sql['secret']} AS secret FROM "
             "(SELECT *, conv_id * 1000 + turn AS row_id FROM conversations)))")
+
+
+# Credentials that the given documents hold of themselves, by the form in which they are written there.
+OWN_CREDENTIAL = 'token = "([0-9a-f]{40})"'
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled texts of three kinds: documents with one credential each and ``own``, what they hold besides; turns of
+    conversations with look-alikes; turns of users with messages of none to two credentials."""
+    positive = labelled(spark, sf_dir).withColumn("own", F.regexp_extract_all("text", F.lit(OWN_CREDENTIAL), F.lit(1)))
+    turns = table(spark, sf_dir, "conversations").withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
+    asked = F.col("role") == "user"
+    negative = with_look_alikes(turns.where(~asked | F.col("role").isNull()), "row_id")
+    return (positive.select("text", "expected_secret", "own"), negative.select("text", "look_alike"),
+            with_messages(turns.where(asked), "row_id").select("text", "expected_secrets"))
+
+
+def evaluated_sql() -> str:
+    """CTE ``docs`` (id, kind, text, expected, own): the same texts on the checking engine."""
+    none, mixed = look_alike_sql("row_id", "duckdb"), mixed_sql("row_id", "duckdb")
+    return (f"{labelled_sql(columns='doc_id', name='positive')}, turns AS (SELECT *, conv_id * 1000 + turn AS row_id FROM conversations), "
+            "docs AS (SELECT 'd' || doc_id AS id, 'sample' AS kind, text, [expected_secret] AS expected, "
+            f"regexp_extract_all(text, '{OWN_CREDENTIAL}', 1) AS own FROM positive "
+            f"UNION ALL SELECT 'n' || row_id, 'look-alike', text || chr(10) || {none['text']}, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) "
+            "FROM turns WHERE role IS DISTINCT FROM 'user' "
+            f"UNION ALL SELECT 'm' || row_id, 'message', text || chr(10) || {mixed['text']}, [first, second][1:{mixed['n']}], CAST([] AS VARCHAR[]) "
+            f"FROM (SELECT *, {mixed['first']} AS first, {mixed['second']} AS second FROM turns WHERE role = 'user'))")
