@@ -77,25 +77,16 @@ def moment(us: int):
     return F.timestamp_micros(F.lit(us))
 
 
-class VaultStore:
-    """A vault kept under ``path`` in a shared file system, with its key.
-
-    key: must be the one the store was made with; None takes the stored one, or makes one for a new store.
-    """
+class SharedFiles:
+    """Small files in a shared folder, each written as a whole under a name that nobody has taken."""
 
-    def __init__(self, spark: SparkSession, path: str, key: bytes | None = None, ttl: timedelta = TTL, segments: int = SEGMENTS):
-        self.spark, self.path, self.ttl, self.segments = spark, path.rstrip("/"), ttl // timedelta(microseconds=1), segments
+    def __init__(self, spark: SparkSession, path: str, folders: tuple[str, ...]):
+        self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._files = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._names = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        for folder in ("manifests", "segments"):
+        for folder in folders:
             self._files.mkdirs(self._at(folder))
-        self.key = self._opened(key)
-
-    def __repr__(self) -> str:
-        return f"VaultStore({self.path!r}, key id {key_id(self.key)})"
-
-    # --- files ---------------------------------------------------------------------------
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -129,6 +120,23 @@ class VaultStore:
     def _listed(self, folder: str) -> list[str]:
         return [s.getPath().getName() for s in self._files.listStatus(self._at(folder))]
 
+
+class VaultStore(SharedFiles):
+    """A vault kept under ``path`` in a shared file system, with its key.
+
+    key: must be the one the store was made with; None takes the stored one, or makes one for a new store.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: bytes | None = None, ttl: timedelta = TTL, segments: int = SEGMENTS):
+        super().__init__(spark, path, ("manifests", "segments"))
+        self.ttl, self.segments = ttl // timedelta(microseconds=1), segments
+        self.key = self._opened(key)
+
+    def __repr__(self) -> str:
+        return f"VaultStore({self.path!r}, key id {key_id(self.key)})"
+
+    # --- files ---------------------------------------------------------------------------
+
     def _opened(self, key: bytes | None) -> bytes:
         if not self._files.exists(self._at("key")):
             self._put("key", (new_key() if key is None else key).hex().encode(), private=True)

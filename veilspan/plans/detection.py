@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_placeholder_value
 from ..functions.text import fingerprint, is_real_jwt, shannon_entropy
 from ..operators import baseline as B, reports as R, score as S
 from ..operators.detect import rule_spans
-from ..operators.joins import cut_lineage
+from ..operators.joins import cut_lineage, gone_at_end, shared_folder
 from ..operators.scan import blocking, findings_table, is_blocking, scan_df
 from ..options import ScanOptions
 from ..rules.catalogue import BUILTIN, Rule
 from ..rules.table import rules_df
 from ..sources.files import staged
-from . import duck
 from ..sources.samples import look_alike_sql
+from . import duck
 from .inputs import PRAGMA_SQL, evaluated, evaluated_sql, labelled, labelled_sql, plain_sql, table
 
 SALT = "0123456789abcdef"
@@ -255,6 +257,26 @@ SELECT CASE WHEN ok THEN 'suppressed' ELSE status END AS status, CASE WHEN ok TH
   CASE WHEN ok AND note = 'test/fixture path' THEN given ELSE confidence END AS confidence, count(*) AS findings FROM judged GROUP BY ALL"""
 
 
+def baseline_rebuild(spark, sf_dir):
+    """Build a stored baseline from some documents, rebuild it from all, read it back: what each entry accepts."""
+    folder = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}"
+    gone_at_end(spark, folder)
+    serious = cut_lineage(_serious(spark, sf_dir).select("doc_id", "path", "rule_id", "start", "match", "line"))
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    store = B.BaselineStore(spark, folder)
+    store.rebuild(serious.join(good, "doc_id", "left_semi"), "path")
+    first, _ = store.load()
+    version, _ = store.rebuild(serious, "path")
+    salt, entries = store.load()
+    used = serious.groupBy(fingerprint(F.col("match"), salt).alias("fingerprint")).agg(F.count("*").alias("findings"))
+    return (entries.join(used, "fingerprint", "full")
+            .select("hint", "findings", F.lit(salt != first and len(salt) == 32).alias("fresh_salt"), F.lit(version).alias("version")))
+
+
+BASELINE_REBUILD = (f"WITH {SERIOUS} SELECT arg_max(path || ':' || line || ' ' || rule_id, (path, start_at)) AS hint, count(*) AS findings, "
+                    "TRUE AS fresh_salt, 2 AS version FROM serious GROUP BY match")
+
+
 # --- reports -----------------------------------------------------------------------------
 
 def provider_summary(spark, sf_dir):
@@ -427,6 +449,7 @@ QUERIES = {
     "fingerprints": (fingerprints, f"WITH {SERIOUS} SELECT doc_id, {fp('match')} AS fingerprint FROM serious"),
     "baseline_build": (baseline_build, f"WITH {BASELINE} SELECT * FROM baseline"),
     "baseline_new_findings": (baseline_new_findings, BASELINE_NEW),
+    "baseline_rebuild": (baseline_rebuild, BASELINE_REBUILD),
     "baseline_suppressed": (baseline_suppressed, BASELINE_SUPPRESSED),
     "provider_summary": (provider_summary, PROVIDER_SUMMARY),
     "secret_reuse": (secret_reuse, SECRET_REUSE),

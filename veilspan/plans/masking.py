@@ -248,6 +248,28 @@ def unlocked_files(spark, sf_dir):
     return back.select("path", "source", "used_backup", (F.col("unlocked_text") == F.col("text")).alias("whole"))
 
 
+ENV_DOCS = f"{labelled_sql(columns='doc_id').replace('docs AS', 'origin AS')}, docs AS (SELECT doc_id, 'app/' || doc_id || '/.env' AS file, {ENV_SQL} AS text FROM origin)"
+UNLOCKED = (f"WITH {ENV_DOCS}, {duck.findings('docs')}, serious AS (SELECT f.*, file FROM findings f JOIN docs USING (doc_id) WHERE serious), {vault_sql('file')}, "
+            "n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (contains(placeholder, 'KEY')) AS lost FROM spans GROUP BY doc_id) "
+            "SELECT file AS path, CASE WHEN n IS NULL THEN 'not locked' WHEN lost > 0 THEN 'original' ELSE 'vault' END AS source, "
+            "coalesce(lost, 0) > 0 AS used_backup, TRUE AS whole FROM docs LEFT JOIN n USING (doc_id)")
+
+# Three files of four share a path with many; every seventh has none.
+ODD_PATH = "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 4 > 0 THEN 'app/.env' ELSE 'app/' || doc_id || '/.env' END"
+
+
+def unlocked_odd_paths(spark, sf_dir):
+    """Lock files that share a path or have none, lose the vault, unlock: every file has its own text again."""
+    files = labelled(spark, sf_dir).select(F.expr(ODD_PATH).alias("path"), F.expr(ENV_SQL).alias("text"))
+    out, originals, _ = lock_files(files, V.empty_vault(spark), _key(spark))
+    back = unlock_files(out.select("path", F.col("locked_text").alias("text")), V.empty_vault(spark), originals)
+    return back.select("path", "source", F.sha2("unlocked_text", 256).alias("text_sha256"))
+
+
+UNLOCKED_ODD_PATHS = (f"WITH {ENV_DOCS}, {duck.findings('docs')} SELECT {ODD_PATH} AS path, CASE WHEN doc_id IN (SELECT doc_id FROM findings WHERE serious) "
+                      "THEN 'original' ELSE 'not locked' END AS source, sha256(text) AS text_sha256 FROM docs")
+
+
 def _json_lines(spark, sf_dir):
     events = with_samples(table(spark, sf_dir, "events").select("event_id", "props", F.lit("note:").alias("text")), "event_id")
     return events.select("event_id", F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.array(
@@ -327,7 +349,8 @@ QUERIES = {
                      "WHEN substituted > 0 THEN 'restored ' || substituted || ' value(s)' END AS context FROM per"),
     "vault_live": (vault_live, VAULT_LIVE),
     "locked_files": (locked_files, LOCKED),
-    "unlocked_files": (unlocked_files, None),
+    "unlocked_files": (unlocked_files, UNLOCKED),
+    "unlocked_odd_paths": (unlocked_odd_paths, UNLOCKED_ODD_PATHS),
     "json_leaf_redaction": (json_leaf_redaction, JSON_LEAVES),
     "nested_redaction": (nested_redaction, REDACTED + "SELECT doc_id, n AS redactions, sha256(r.text) AS digest, source, doc_id AS number FROM redacted r JOIN docs d USING (doc_id)"),
     "message_guard": (message_guard, MESSAGES),
